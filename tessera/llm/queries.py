@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, tokenfile
+from . import media, packing, secrets, tokenfile, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,19 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), window=2_048, end_id=1)
 
 
+def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_block_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized("embedding", 1_024.0).alias("q"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_token_dictionary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.write_tokens(table(spark, sf_dir, "documents"), end_id=2)
     return tokenfile.read_tokens(spark, folder, with_ids=False)
@@ -24,6 +38,9 @@ def op10_token_dictionary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
+    "op7_secret_ownership": op7_secret_ownership,
+    "op8_iso_media": op8_iso_media,
+    "op9_block_pruned_topk": op9_block_pruned_topk,
     "op10_token_dictionary_files": op10_token_dictionary_files,
 }
 
