@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, secrets, tokenfile, topk
+from . import language, media, packing, quality, secrets, tokenfile, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder() -> Column:
+    """crc32 of doc_id as text, modulo 3: rows with remainder 1 are held out of learning."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3
+
+
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train_quality(docs, table(spark, sf_dir, "labels"), remainder() != 1)
+    return quality.score_quality(docs, model).withColumn("held_out", remainder() == 1).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_language(docs, remainder() != 1)
+    found = language.predict_language(docs.select("doc_id", "text"), model)
+    return found.withColumn("held_out", remainder() == 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), window=2_048, end_id=1)
 
@@ -37,6 +55,8 @@ def op10_token_dictionary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bradley_terry_quality": op1_bradley_terry_quality,
+    "op3_crf_language": op3_crf_language,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_secret_ownership": op7_secret_ownership,
     "op8_iso_media": op8_iso_media,

@@ -135,7 +135,8 @@ def write_tokens(
     fs.create_dir(root, recursive=True)
     docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).select("text").toPandas()["text"]
+    picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    sample = docs.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text").toPandas()["text"]
     dictionary = train_dictionary([encoder(path).encode(t).tobytes() for t in sample], dictionary_bytes)
     with fs.open_output_stream(f"{root}/dictionary.bin") as f:
         f.write(dictionary)
