@@ -146,3 +146,32 @@ def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty, a lone surrogate is replaced."""
     return b"" if text is None else text.encode("utf-8", "replace")
+
+
+# --------------------------------------------------------------------------- grouped streams
+
+
+def grouped(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """``df`` dealt by ``key`` with every key's rows together and in order."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key).sortWithinPartitions(key)
+
+
+def runs_of(batches, key: str):
+    """Pandas frames of one key each, from batches whose keys are in order."""
+    import pandas as pd
+
+    held, now = [], None
+    for pdf in batches:
+        keys = pdf[key].to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        for a, b in zip(np.concatenate([[0], cuts]), np.append(cuts, len(keys))):
+            if a == b:
+                continue
+            if held and keys[a] != now:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+                held = []
+            now = keys[a]
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
