@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, ngramjoin, packing, quality, secrets, tokenfile, topk
+from . import language, media, ngramjoin, packing, quality, secrets, substring, tokenfile, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", remainder() == 1).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_suffix_tree_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.removed_words(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -61,6 +66,7 @@ def op10_token_dictionary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry_quality": op1_bradley_terry_quality,
     "op3_crf_language": op3_crf_language,
+    "op4_suffix_tree_substrings": op4_suffix_tree_substrings,
     "op5_trie_jaccard": op5_trie_jaccard,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_secret_ownership": op7_secret_ownership,
