@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, ngramjoin, packing, quality, secrets, substring, tokenfile, topk
+from . import language, media, ngramjoin, packing, quality, sampling, secrets, substring, tokenfile, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).withColumn("held_out", remainder() == 1).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_segmentations(table(spark, sf_dir, "documents"), k=2, seed=0, with_ids=False)
+
+
 def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train_language(docs, remainder() != 1)
@@ -65,6 +69,7 @@ def op10_token_dictionary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry_quality": op1_bradley_terry_quality,
+    "op2_gumbel_segmentations": op2_gumbel_segmentations,
     "op3_crf_language": op3_crf_language,
     "op4_suffix_tree_substrings": op4_suffix_tree_substrings,
     "op5_trie_jaccard": op5_trie_jaccard,
