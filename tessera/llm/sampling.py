@@ -52,6 +52,7 @@ class PieceModel:
             ranks[normal] = np.arange(len(normal))
             scores = -np.log(2 + ranks)
         self.weight = scores * inverse_temperature
+        self.weight[[i for i in range(n) if sp.is_byte(i)]] = float(self.weight[normal].min()) - 1.0
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.unk = sp.unk_id()
         self.byte_weight = float(self.weight[normal].min()) - 1.0
@@ -82,6 +83,13 @@ class PieceModel:
                 out[i] = code
         return out
 
+    def stand_in(self, chars: np.ndarray) -> np.ndarray:
+        """Arc label of characters without a piece: a byte piece, or -1 - character if it takes more."""
+        if len(self.byte_id) < 256:
+            return -1 - chars
+        single = np.array([self.byte_id[b] for b in range(128)])
+        return np.where(chars < 128, single[np.minimum(chars, 127)], -1 - chars)
+
     def fallback(self, char: str) -> list[int]:
         """Byte pieces of a character without a piece (the unknown piece, if there are none)."""
         raw = (SPACE if char == _HIDDEN else char).encode("utf-8", "replace")
@@ -104,24 +112,26 @@ def chunks_of(text: str) -> list[str]:
 class Lattice:
     """Sub-lattices of distinct words: arcs by node, with normalised log probabilities.
 
-    ``base`` is each word's first node, ``first`` each node's first arc; a node's arcs come in
-    descending probability, ``top`` is the first one's.
+    Nodes are numbered along the words, ``base`` is each word's first one. Arcs are grouped by
+    node, nodes nearest to their word's end first (``rank``), so the backward pass runs over
+    slices. ``best`` is a node's likeliest arc and ``top`` its probability; ``until`` is the
+    rank plus the cumulated share of the other arcs.
     """
 
-    FIELDS = ("base", "first", "reach", "piece", "logq", "until", "top")
-
     def __init__(self, model: PieceModel, words: list[str]):
         size = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n_nodes = len(chars)
         self.base = np.cumsum(size) - size
-        left = np.repeat(self.base + size, size) - np.arange(len(chars))
-        node, reach, piece = [], [], []
-        at, code = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
-        covered = np.zeros(len(chars), bool)
+        left = np.repeat(self.base + size, size) - np.arange(n_nodes)
+        found: list[tuple[np.ndarray, int, np.ndarray]] = []
+        at, code = np.arange(n_nodes), np.zeros(n_nodes, np.uint64)
+        bare = at
         with np.errstate(over="ignore"):
             for n, (codes, ids, bloom) in enumerate(model.tables, 1):
-                live = left[at] >= n
-                at, code = at[live], code[live]
+                if n > 1:
+                    live = left[at] >= n
+                    at, code = at[live], code[live]
                 if not len(at):
                     break
                 code = code * _MUL + chars[at + n - 1]
@@ -130,68 +140,85 @@ class Lattice:
                 maybe = np.flatnonzero(bloom[(code * _SPREAD >> np.uint64(44)).astype(np.int64)])
                 where = np.minimum(np.searchsorted(codes, code[maybe]), len(codes) - 1)
                 hit = codes[where] == code[maybe]
-                found = at[maybe[hit]]
-                node.append(found)
-                reach.append(np.full(len(found), n, np.int32))
-                piece.append(ids[where[hit]])
+                found.append((at[maybe[hit]], n, ids[where[hit]]))
                 if n == 1:
-                    covered[found] = True
-        bare = np.flatnonzero(~covered)
-        node.append(bare)
-        reach.append(np.ones(len(bare), np.int32))
-        piece.append(-1 - chars[bare].astype(np.int64))  # below zero: the character itself
-        node, reach, piece = np.concatenate(node), np.concatenate(reach), np.concatenate(piece)
-        score = np.where(piece >= 0, model.weight[np.maximum(piece, 0)], 4 * model.byte_weight)
-        # backward log sums, one distance from the word end at a time
-        far = left[node]
-        rank = np.lexsort((node, far))
-        node, reach, piece, score, far = node[rank], reach[rank], piece[rank], score[rank], far[rank]
-        ends = far == reach
-        to = np.where(ends, len(chars), node + reach)
-        beta = np.full(len(chars) + 1, -np.inf)
-        beta[-1] = 0.0
-        value = np.empty(len(node))
-        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(starts, len(node)))
-        levels = np.searchsorted(far, np.arange(1, int(left.max(initial=0)) + 2))
-        blocks = np.searchsorted(starts, levels)
-        for r in range(len(levels) - 1):
-            x, y, i, j = levels[r], levels[r + 1], blocks[r], blocks[r + 1]
-            if x == y:
+                    covered = np.zeros(n_nodes, bool)
+                    covered[found[0][0]] = True
+                    bare = np.flatnonzero(~covered)
+        found.append((bare, 1, model.stand_in(chars[bare].astype(np.int64))))
+        counts = np.zeros(n_nodes, np.int64)
+        for node, _, _ in found:
+            counts[node] += 1
+        short = left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left
+        order = np.argsort(short, kind="stable")
+        self.rank = np.empty(n_nodes, np.int64)
+        self.rank[order] = np.arange(n_nodes)
+        sizes = counts[order]
+        starts = np.cumsum(sizes) - sizes
+        self.first = starts[self.rank]
+        self.count = counts.astype(np.int32)
+        n_arcs = int(counts.sum())
+        self.reach, self.piece = np.empty(n_arcs, np.int32), np.empty(n_arcs, np.int32)
+        fill = self.first.copy()
+        for node, n, ids in found:
+            slot = fill[node]
+            self.reach[slot], self.piece[slot] = n, ids
+            fill[node] += 1
+        score = np.where(self.piece >= 0, model.weight[np.maximum(self.piece, 0)], 4 * model.byte_weight)
+        # backward log sums, one distance from the word end at a time; nodes in rank order
+        own = np.repeat(np.arange(n_nodes), sizes)
+        target = order[own] + self.reach
+        ends = left[order][own] == self.reach
+        to = np.where(ends, n_nodes, self.rank[np.where(ends, 0, target)])
+        beta = np.zeros(n_nodes + 1)
+        self.logq = np.empty(n_arcs)
+        levels = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
+        cuts = np.append(starts, n_arcs)
+        for i, j in zip(levels[:-1], levels[1:]):
+            if i == j:
                 continue
-            value[x:y] = score[x:y] + beta[to[x:y]]
+            x, y = cuts[i], cuts[j]
+            value = score[x:y] + beta[to[x:y]]
             inner = starts[i:j] - x
-            peak = np.maximum.reduceat(value[x:y], inner)
-            beta[node[starts[i:j]]] = peak + np.log(np.add.reduceat(np.exp(value[x:y] - np.repeat(peak, counts[i:j])), inner))
-        logq = value - beta[node]
-        order = np.lexsort((-logq, node))
-        node, self.reach, self.piece, self.logq = node[order], reach[order], piece[order].astype(np.int32), logq[order]
-        self.first = np.searchsorted(node, np.arange(len(chars) + 1))
+            peak = np.maximum.reduceat(value, inner)
+            total = peak + np.log(np.add.reduceat(np.exp(value - np.repeat(peak, sizes[i:j])), inner))
+            beta[i:j] = total
+            self.logq[x:y] = value - np.repeat(total, sizes[i:j])
         share = np.exp(self.logq)
+        top = np.maximum.reduceat(share, starts) if n_nodes else np.zeros(0)
+        likeliest = np.flatnonzero(share == np.repeat(top, sizes))
+        best = np.empty(n_nodes, np.int64)
+        best[own[likeliest][::-1]] = likeliest[::-1]
+        self.best, self.top = best[self.rank], top[self.rank]
+        share[best] = 0.0
         run = np.cumsum(share)
-        self.until = node + np.minimum(run - np.concatenate([[0.0], run])[self.first[node]], 1.0)
-        self.until[self.first[1:] - 1] = np.arange(len(chars)) + 1.0
-        self.top = share[self.first[:-1]]
+        before = np.concatenate([[0.0], run])[starts]
+        rest = np.maximum(np.append(run, 0.0)[cuts[1:] - 1] - before, 1e-300)
+        self.until = own + np.minimum((run - np.repeat(before, sizes)) / np.repeat(rest, sizes), 1.0)
+        self.until[cuts[1:] - 1] = np.arange(n_nodes) + 1.0
 
     def extended(self, other: Lattice) -> Lattice:
         """One lattice with the words of both, ``other`` behind."""
         out = object.__new__(Lattice)
         nodes, arcs = len(self.top), len(self.reach)
-        out.base = np.concatenate([self.base, other.base + nodes])
-        out.first = np.concatenate([self.first[:-1], other.first + arcs])
-        out.until = np.concatenate([self.until, other.until + nodes])
-        for name in ("reach", "piece", "logq", "top"):
-            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+        shift = {"base": nodes, "rank": nodes, "until": nodes, "first": arcs, "best": arcs}
+        for name in ("base", "rank", "first", "count", "best", "top", "until", "reach", "piece", "logq"):
+            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name) + shift.get(name, 0)]))
         return out
 
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """Arc of each node drawn by its uniform number."""
-        arc = self.first[node]
-        rest = np.flatnonzero(u >= self.top[node])
+        arc, top = self.best[node], self.top[node]
+        rest = np.flatnonzero(u >= top)
         if len(rest):
             n = node[rest]
-            got = np.searchsorted(self.until, n + u[rest], side="right")
-            arc[rest] = np.clip(got, self.first[n], self.first[n + 1] - 1)
+            again = np.minimum((u[rest] - top[rest]) / np.maximum(1.0 - top[rest], 1e-300), 1.0 - 2.0**-53)
+            got = np.searchsorted(self.until, self.rank[n] + again, side="right")
+            got = np.clip(got, self.first[n], self.first[n] + self.count[n] - 1)
+            # a draw on the likeliest arc's empty share comes from rounding only
+            stuck = got == arc[rest]
+            got[stuck & (got > self.first[n])] -= 1
+            arc[rest] = got
         return arc
 
 
@@ -267,7 +294,8 @@ class _Search:
 
     def others(self, path: int, x: int, used: tuple, lattice: Lattice) -> list[int]:
         node = int(self.paths[path][4][x])
-        return [i for i in range(int(lattice.first[node]), int(lattice.first[node + 1])) if i not in used]
+        first = int(lattice.first[node])
+        return [i for i in range(first, first + int(lattice.count[node])) if i not in used]
 
     def pop(self, lattice: Lattice, rng: np.random.Generator) -> tuple[float, int, int, int]:
         """(value, path, step, arc) of the best open segmentation; the rest of its set stays open."""
