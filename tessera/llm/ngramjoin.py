@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import grouped, materialize, rolling, runs_of, utf8, word_hashes
@@ -330,10 +330,7 @@ def keep_first_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     found = jaccard_components(docs, **options).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
     heads = found.where("doc_id = __component").select(F.col("doc_id").alias("__id"))
-    kept = docs.join(heads, docs["doc_id"] == heads["__id"], "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id"))
-    again = kept.join(repeated, kept["doc_id"] == repeated["__id"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    again = again.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    once = kept.join(repeated, kept["doc_id"] == repeated["__id"], "left_anti")
-    return once.unionAll(again.select(once.columns)).unionAll(docs.where("doc_id IS NULL"))
+    kept = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col("__id"), "left_semi")
+    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("__row")
+    once = kept.groupBy("doc_id").agg(first).select("__row.*")
+    return once.unionAll(docs.where("doc_id IS NULL"))
