@@ -122,7 +122,7 @@ def blended(base: Column, model: Column, confidence: Column) -> Column:
 
 def suitability(df: DataFrame) -> DataFrame:
     """Four independent suitability scores, phase diversity and disagreement."""
-    n = lambda *names: first_number(names)
+    n = lambda *names: first_number([x for x in names if x in df.columns])
     out = df.withColumns(
         {
             "_scene": n("scene_only_score"),
