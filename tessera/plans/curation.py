@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +17,14 @@ P = C.Policy()
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All score columns. The observed row count also keeps later filters from being pushed
-    below, which would copy the whole nested score expression into each predicate."""
-    return counted(C.review_flags(C.classify(C.suitability(takes(spark, sf_dir)), P), P))
+    """All score columns, kept: many queries and branches read them, and filters must not be
+    pushed below, which would copy the nested score expressions into each predicate."""
+    return kept(C.review_flags(C.classify(C.suitability(takes(spark, sf_dir)), P), P))
 
 
-def counted(df: DataFrame) -> DataFrame:
-    return df.observe(f"rows_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("n"))
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` held in memory or on disk; what a lost executor held is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _clip(e: str) -> str:
@@ -170,9 +170,9 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
         clip("pose_state_change_score").alias("prior"), clip("loco_score").alias("loco"), clip("exo_body_motion_score").alias("body"), clip("scene_only_score").alias("scene"),
         clip("auto_disagreement_score").alias("disagreement"), c("auto_take_relevance").alias("relevance"), F.lit("F_uncertain").alias("auto_bucket"),
     )
-    rows = counted(weights.quality_weight(weights.group_balance(rows, "split", "task_name", "parent_task")))
+    rows = kept(weights.quality_weight(weights.group_balance(rows, "split", "task_name", "parent_task")))
     rows = weights.mass_balance(rows.withColumn("weight", c("raw_weight")), "weight", ("parent_task", "task_name"))
-    return weights.scale_to_max(rows, "weight")
+    return weights.scale_to_max(kept(rows), "weight")
 
 
 def take_weight_v2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,8 +271,8 @@ def lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.lineage(edges, "c", "p", 20)
 
 
-LINEAGE_SQL = """WITH RECURSIVE e AS (SELECT p_partkey AS c, CASE WHEN p_partkey > 8 THEN p_partkey // 3 END AS p FROM part), walk(node, at, depth) AS (SELECT c, p, 1 FROM e WHERE p IS NOT NULL
- UNION ALL SELECT w.node, e.p, w.depth + 1 FROM walk w JOIN e ON e.c = w.at WHERE e.p IS NOT NULL AND w.depth < 20) SELECT node, arg_max(at, depth) AS root, max(depth) AS depth FROM walk GROUP BY 1"""
+LINEAGE_SQL = """WITH RECURSIVE e AS (SELECT p_partkey AS c, CASE WHEN p_partkey > 8 THEN p_partkey // 3 END AS p FROM part), walk(node, place, depth) AS (SELECT c, p, 1 FROM e WHERE p IS NOT NULL
+ UNION ALL SELECT w.node, e.p, w.depth + 1 FROM walk w JOIN e ON e.c = w.place WHERE e.p IS NOT NULL AND w.depth < 20) SELECT node, arg_max(place, depth) AS root, max(depth) AS depth FROM walk GROUP BY 1"""
 
 
 def validate_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
