@@ -58,11 +58,11 @@ def apply_ranker(model, df: DataFrame, key: str, features: Sequence[str]) -> Dat
 
 def linear_probe(df: DataFrame, vector: str, label: str):
     """Standardised multinomial logistic regression on an array column."""
-    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("__raw"), label)
+    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("__raw"), F.col(label).alias("__class"))
     return Pipeline(
         stages=[
             StandardScaler(inputCol="__raw", outputCol="features", withMean=True),
-            StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc"),
+            StringIndexer(inputCol="__class", outputCol="label", stringOrderType="alphabetAsc"),
             LogisticRegression(regParam=0.01, maxIter=50),
         ]
     ).fit(rows)

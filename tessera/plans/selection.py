@@ -115,11 +115,11 @@ def stride_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight half-second rows at one-second stride where the size leaves room."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.lit(1.0).alias("s"), (F.col("n_chars") / 200.0).alias("e"))
     got = splits.stride_rows(d, "doc_id", "s", "e", 1.0, 0.5, 8)
-    return got.select("doc_id", "row", r6("t", "t"), "status", F.when(F.col("t").isNotNull(), timed_id("doc_id", "t")).alias("sample_id"))
+    return got.select("doc_id", F.coalesce("row", F.lit(-1)).alias("row"), r6("t", "t"), "status", F.when(F.col("t").isNotNull(), timed_id("doc_id", "t")).alias("sample_id"))
 
 
 STRIDE_SQL = """WITH a AS (SELECT doc_id, CAST(floor((n_chars / 200e0 - 0.5e0 - 1e0) / 1e0) + 1 AS BIGINT) AS room FROM documents), b AS (SELECT doc_id, room, least(8, greatest(room, 0)) AS n, CASE WHEN room < 1 THEN 'insufficient_duration' WHEN room < 8 THEN 'partial' ELSE 'ok' END AS status FROM a)
-SELECT doc_id, CAST(j AS INTEGER) AS row, 1e0 + j AS t, status, doc_id || ':' || printf('%.3f', 1e0 + j) AS sample_id FROM b, range(8) r(j) WHERE j < n UNION ALL SELECT doc_id, NULL, NULL, status, NULL FROM b WHERE n = 0"""
+SELECT doc_id, CAST(j AS INTEGER) AS row, 1e0 + j AS t, status, doc_id || ':' || printf('%.3f', 1e0 + j) AS sample_id FROM b, range(8) r(j) WHERE j < n UNION ALL SELECT doc_id, -1, NULL, status, NULL FROM b WHERE n = 0"""
 
 
 def dedup_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
