@@ -261,9 +261,12 @@ class Labeller:
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """(label, share of the word marginals) of every text; ``und`` without letters."""
+        if not self.model.labels:  # nothing was learned
+            yield from ((UNDETERMINED, 0.0) for _ in texts)
+            return
         good = [t if t and LETTER.search(t) else "" for t in texts]
         for text, (words, gamma) in zip(good, self.marginals(good)):
-            if not words or not self.model.labels:
+            if not words:
                 yield UNDETERMINED, 0.0
                 continue
             mass = gamma.sum(0)

@@ -190,9 +190,9 @@ def media_columns(stored: DataFrame, column: str = "media", with_payload: bool =
     """``stored`` with codec, duration and keyframe byte ranges beside ``column``.
 
     A null or malformed file gives nulls in the added columns. With ``with_payload`` the
-    digests of the samples read back are added instead of the ranges.
+    digests of the samples read back stand in the place of ``column`` and the ranges.
     """
-    keep = [c for c in stored.columns if c != column]
+    keep = [c for c in stored.columns if c != column or not with_payload]
     digest = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.select(*keep).schema)
 
