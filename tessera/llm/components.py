@@ -31,4 +31,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(seen) == state:
             break
         state = tuple(seen)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

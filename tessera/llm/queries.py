@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, ngramjoin, packing, quality, sampling, secrets, substring, tokenfile, topk
+from . import language, media, ngramjoin, oracles, packing, quality, sampling, secrets, substring, tokenfile, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_dictionary_files": op10_token_dictionary_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others hold a learned model, a codec's bytes or a packing, which SQL cannot state.
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
