@@ -23,6 +23,7 @@ BUCKETS = 1 << 16
 GRAMS = 4
 CHUNK = 32
 UNDETERMINED = "und"
+ROWS = 256  # texts whose words are held at a time
 
 
 def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -303,10 +304,10 @@ def predict_language(docs: DataFrame, model: Crf) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            found = list(labeller.documents(texts))
-            cols = [batch.column(i) for i in range(len(keep))]
+        parts = (batch.slice(a, ROWS) for batch in batches for a in range(0, batch.num_rows, ROWS))
+        for part in parts:
+            found = list(labeller.documents(part.column(len(keep)).to_pylist()))
+            cols = [part.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"]
             )
