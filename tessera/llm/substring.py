@@ -139,9 +139,10 @@ def repeated_starts(docs: DataFrame, window: int = 50, hot: int = 256, run_rows:
     affected = materialize(
         docs.withColumn("text_key", F.coalesce("text_key", F.lit(0))).join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors"), "affected", codec="zstd"
     )
-    total = affected.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    total, n_docs = affected.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)), F.count("*")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * parts, -(-total // run_rows))
+    slices = max(2 * parts, n_docs // 2_000)
 
     def cut_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -199,11 +200,24 @@ def repeated_starts(docs: DataFrame, window: int = 50, hot: int = 256, run_rows:
     frequent = affected.where(F.exists("anchors", lambda m: m["runs"] > hot)).mapInPandas(batched, "node long, check long, doc_id long, text_key long, start int")
     frequent = materialize(frequent, "extended")
     nodes = frequent.groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    hits = frequent.join(nodes, ["node", "check"]).where("doc_id > least").select("doc_id", "text_key", "start")
-    leaf_marks = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("start")).alias("start"))
+    # members of a node are packed per slice of the documents, so that a common passage makes
+    # as many rows as there are slices and a row holds at most one slice's documents
+    member = F.struct("doc_id", "text_key", "start")
+    packed = frequent.groupBy("node", "check", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice")).agg(F.collect_list(member).alias("members"))
+    hits = packed.join(nodes, ["node", "check"]).select("slice", "least", "members")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for group in runs_of(batches, "slice"):
+            rows = [(m["doc_id"], m["text_key"], m["start"]) for least, members in zip(group["least"], group["members"]) for m in members if m["doc_id"] > least]
+            if rows:
+                found = pd.DataFrame(rows, columns=["doc_id", "text_key", "start"])
+                found = found.groupby(["doc_id", "text_key"], sort=False)["start"].agg(lambda s: s.to_numpy("<i4").tobytes()).reset_index()
+                yield found.rename(columns={"start": "starts"})
 
-    starts = tree_marks.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
-    marked = affected.select("doc_id", "text_key", "text").join(starts, ["doc_id", "text_key"], "left").join(leaf_marks, ["doc_id", "text_key"], "left").where("starts IS NOT NULL OR start IS NOT NULL")
+    leaf_marks = grouped(hits, "slice").mapInPandas(mark, marks_schema)
+    all_marks = tree_marks.unionAll(leaf_marks)
+    starts = all_marks.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
+    marked = affected.select("doc_id", "text_key", "text").join(starts, ["doc_id", "text_key"])
     return summary, marked
 
 
@@ -221,12 +235,9 @@ def removed_words(docs: DataFrame, window: int = 50, **options) -> DataFrame:
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, key, text, packed, plain in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], pdf["starts"], pdf["start"]):
+            for doc_id, key, text, packed in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], pdf["starts"]):
                 words = utf8(text).split()
-                parts = [np.frombuffer(x, "<i4") for x in packed] if packed is not None else []
-                if plain is not None:
-                    parts.append(np.asarray(plain, np.int32))
-                gone = covered(np.unique(np.concatenate(parts)).astype(np.int64), len(words), window)
+                gone = covered(np.unique(np.frombuffer(b"".join(packed), "<i4")).astype(np.int64), len(words), window)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 rows.append((doc_id, key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             if rows:
