@@ -2,7 +2,8 @@
 
 Every pair (good document, bad document) says that the first is preferred. A linear score
 is fitted by logistic loss on the difference of the two feature vectors, and the decision
-threshold is a quantile of the training scores: the share of bad documents among them.
+threshold is a quantile of the training scores: the share of bad documents among them. The
+weights may come from a sample; the threshold is taken over all labelled training documents.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import materialize, utf8
 
 _PUNCT = [b for b in range(33, 127) if not chr(b).isalnum()]
 _GROUPS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": [32], "break": [9, 10, 13], "high": range(128, 256)}
@@ -106,10 +107,11 @@ def fit(x: np.ndarray, good: np.ndarray, l2: float = 1.0, pairs_per_row: int = 8
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, is_training: Column, max_labelled: int = 8_000) -> BradleyTerry:
-    """Fit on at most ``max_labelled`` labelled documents, half of each class at most.
+    """Weights from at most ``max_labelled`` labelled documents, half of each class at most.
 
     The rows are those that come first by a hash of doc_id, so the sample does not depend on
-    the partitioning. A doc_id with labels of both classes, or a null label, is left out.
+    the partitioning. The threshold is the quantile over all labelled training documents. A
+    doc_id with labels of both classes, or a null label, is left out.
     """
     known = labels.where(is_training & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     known = known.where("low = high").select("doc_id", F.col("low").alias("good"))
@@ -125,7 +127,45 @@ def train_quality(docs: DataFrame, labels: DataFrame, is_training: Column, max_l
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("good").cast("int").alias("good"))
     rows = joined.mapInArrow(measure, "doc_id long, good int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
-    return fit(x, rows["good"].to_numpy())
+    model = fit(x, rows["good"].to_numpy())
+    if rows["good"].nunique() == 2:
+        scored = raw_scores(docs.where("doc_id IS NOT NULL"), model).join(known, "doc_id").select("raw", "good")
+        scored = materialize(scored, "quality-scores")
+        model.threshold = cut_between(scored, scored.where("good = 0").count())
+    return model
+
+
+def cut_between(scored: DataFrame, below: int, bins: int = 1_024) -> float:
+    """Midpoint of the ``below``-th smallest raw score and the next one; exact, ties included.
+
+    The range that holds it is cut into ``bins`` until one value is left; the driver gets one
+    row per bin. There must be more than ``below`` rows, and ``below`` must be at least 1.
+    """
+    low, high = scored.agg(F.min("raw"), F.max("raw")).first()
+    rank = below
+    while low < high:
+        place = F.least(F.floor((F.col("raw") - low) / (high - low) * bins), F.lit(bins - 1))
+        counts = scored.where(F.col("raw").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("raw").alias("low"), F.max("raw").alias("high"))
+        for row in sorted(counts.collect()):
+            if rank <= row.n:
+                low, high = row.low, row.high
+                break
+            rank -= row.n
+    upto, after = scored.agg(F.count_if(F.col("raw") <= low), F.min(F.when(F.col("raw") > low, F.col("raw")))).first()
+    return float((low + (low if upto > below else after)) / 2)
+
+
+def raw_scores(docs: DataFrame, model: BradleyTerry) -> DataFrame:
+    """(doc_id, raw) of every row: the linear score before the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1_000):
+                part = batch.slice(a, 1_000)
+                raw = model.raw(np.stack([features(t.as_py()) for t in part.column(1)]))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "raw": pa.array(raw)})
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, raw double")
 
 
 def score_quality(docs: DataFrame, model: BradleyTerry) -> DataFrame:

@@ -75,6 +75,21 @@ def test_threshold_is_a_quantile():
     assert (model.score(x) < 0.5).sum() == (x[:, 0] <= 0.25).sum()
 
 
+def test_threshold_covers_labels_beyond_the_sample(spark):
+    rows = [(i, prose(i, 40) if i % 10 else "$$ @@ ## %% " * (5 + i % 7), int(i % 10 > 0)) for i in range(300)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    model = quality.train_quality(d, labels, F.lit(True), max_labelled=40)  # 20 of 30 bad ones, 20 of 270 good ones
+    raw = np.sort(model.raw(np.stack([quality.features(t) for _, t, _ in rows])))
+    assert raw[29] <= model.threshold <= raw[30] and math.isclose(model.threshold, (raw[29] + raw[30]) / 2, abs_tol=1e-9)
+
+
+def test_cut_between_is_exact(spark):
+    values = [0.0, 1e-12, 2e-12, 1.0, 1.0, 1.0, 5.0, 1e6]
+    scored = spark.createDataFrame([(v,) for v in values], "raw double")
+    assert [quality.cut_between(scored, k, bins=2) for k in range(1, len(values))] == [(a + b) / 2 for a, b in zip(values, values[1:])]
+
+
 # ------------------------------------------------------------------ 2 sampling
 
 
