@@ -1,9 +1,14 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found per document, hashed, and counted over the corpus by distinct
-repositories (documents) and owners (sources). A value that few owners have and that looks
-random is owner-specific and live-looking: it gets an added ``owner`` span on the value. A
-value that many owners share is a widely copied example and keeps its base span only.
+repositories (documents) and owners (sources). A value that few repositories and few owners
+have and that looks random is owner-specific and live-looking: it gets an added ``owner`` span
+on the value. A value that many repositories or many owners share is a widely copied example
+and keeps its base span only.
+
+Copies of one text say nothing about its values, so a text counts once, for the repository
+that comes first. A text that holds nothing but its candidates is the copied value itself, and
+each of its rows counts.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from .common import materialize
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = [("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24)]
 OWNER_KIND = "owner"
+ANY_KIND = "|".join(pattern for _, pattern, *_ in KINDS)
 SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
 
 
@@ -53,11 +59,11 @@ def looks_live(value: Column) -> Column:
     return (F.length(value) >= 10) & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, max_repositories: int = 10) -> DataFrame:
     """``docs`` rows with base (sorted base spans), live (owner-specific spans) and counts.
 
     Adds row_id, base, live, n_copied (base spans whose value more than ``max_owners`` owners
-    have). Null texts count as empty; a null owner or repository counts as one value of its
+    or more than ``max_repositories`` repositories have in texts of their own). Null texts count as empty; a null owner or repository counts as one value of its
     own; repeated rows stay; an empty table gives none. Only ids and spans are shuffled; the
     text leaves after the scan. Returned columns: doc_id, row_id, text_key, base,
     live, n_copied.
@@ -71,28 +77,33 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
         F.xxhash64(text).alias("text_key"),
         F.sort_array(found).alias("base"),
+        text.alias("text"),
     )
-    scanned = materialize(scanned, "secret-spans")
-    live = ownership(scanned, max_owners)
+    bare = F.when(F.size("base") > 0, ~F.regexp_replace("text", ANY_KIND, "").rlike(r"[\p{L}\p{N}]")).otherwise(False)
+    scanned = materialize(scanned.withColumn("bare", bare).drop("text"), "secret-spans")
+    live = ownership(scanned, max_owners, max_repositories)
     empty = F.array().cast(f"array<{SPAN}>")
     return scanned.join(live, "row_id", "left").select(
         "doc_id", "row_id", "text_key", "base", F.coalesce("live", empty).alias("live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied")
     )
 
 
-def ownership(scanned: DataFrame, max_owners: int) -> DataFrame:
+def ownership(scanned: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
     """Owner-specific spans and the number of copied ones per row_id."""
-    hits = scanned.where(F.size("base") > 0).select("row_id", "owner", "repository", F.explode("base").alias("s"))
+    hits = scanned.where(F.size("base") > 0).select("row_id", "owner", "repository", "text_key", "bare", F.explode("base").alias("s"))
     hits = hits.withColumn("value_hash", F.sha2("s.value", 256))
+    own_row = F.when(F.col("bare"), F.struct("repository", "owner")).alias("own_row")
     spread = (
-        hits.select("value_hash", "owner", "repository")
+        hits.groupBy("value_hash", "text_key", own_row)
+        .agg(F.min(F.struct("repository", "owner")).alias("first"))
+        .select("value_hash", "first.owner", "first.repository")
         .distinct()
         .groupBy("value_hash", "owner")
         .agg(F.count("*").alias("n"))
         .groupBy("value_hash")
         .agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
     )
-    judged = hits.join(spread, "value_hash").withColumn("copied", F.col("n_owners") > max_owners)
+    judged = hits.join(spread, "value_hash").withColumn("copied", (F.col("n_owners") > max_owners) | (F.col("n_repositories") > max_repositories))
     span = F.struct(
         (F.col("s.end") - F.length("s.value")).alias("start"), F.lit(len(KINDS)).alias("ord"), F.col("s.end").alias("end"), F.lit(OWNER_KIND).alias("kind"), F.col("s.value").alias("value")
     )

@@ -406,6 +406,21 @@ def test_widely_copied_values_are_examples(spark):
     assert hidden[50] == "token=<secret>" and hidden[0] == rows[0][1]
 
 
+def test_ownership_counts_repositories_and_distinct_texts(spark):
+    pasted, leaked, shared, reused = "Pq7rT2wX9zLm", "Zq81mNp4Lk27", "Kd93hVb6Tn05", "Wj46sYc8Rf17"
+    rows = [(i, f"{prose(i, 20)} token={pasted}", "hot") for i in range(11)]  # many documents of one owner
+    rows += [(20 + i, f"{prose(50, 20)} token={leaked}", f"owner{i}") for i in range(20)]  # one document, copied
+    rows += [(50 + i, f"{prose(60 + i, 20)} token={shared}", f"owner{i}") for i in range(3)]  # three documents of three owners
+    rows += [(60 + i, f"{prose(70 + i, 20)} token={reused}", "hot") for i in range(10)]  # few documents of one owner
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    for i, text, _ in rows:
+        live = leaked in text or reused in text
+        assert (len(got[i].live), got[i].n_copied) == ((1, 0) if live else (0, 1)), text
+    hidden = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert hidden[0] == rows[0][1] and all(hidden[20 + i].endswith("token=<secret>") for i in range(20))
+
+
 # ------------------------------------------------------------------ 8 media
 
 
