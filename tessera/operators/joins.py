@@ -95,7 +95,8 @@ def coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
 def lineage(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
     """(node, root, depth): follow parents to a root; a cycle stops at its first repeated node.
 
-    Recursive SQL, so the walk is one query; nodes on a cycle get a null root.
+    Recursive SQL, so the walk is one query; nodes on a cycle, and nodes whose walk stops at
+    ``max_depth`` while a parent is still there, get a null root.
     """
     spark = edges.sparkSession
     edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("__lineage_edges")
@@ -104,6 +105,8 @@ def lineage(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> D
               SELECT c, p, 1 FROM __lineage_edges WHERE p IS NOT NULL
               UNION ALL
               SELECT w.node, e.p, w.depth + 1 FROM walk w JOIN __lineage_edges e ON e.c = w.at
-              WHERE e.p IS NOT NULL AND e.p <> w.node AND w.depth < {max_depth})
-            SELECT node, max_by(at, depth) AS root, max(depth) AS depth FROM walk GROUP BY node"""
+              WHERE e.p IS NOT NULL AND e.p <> w.node AND w.depth < {max_depth}),
+            last AS (SELECT node, max_by(at, depth) AS at, max(depth) AS depth FROM walk GROUP BY node)
+            SELECT node, CASE WHEN more.c IS NULL THEN at END AS root, depth
+            FROM last LEFT JOIN (SELECT DISTINCT c FROM __lineage_edges WHERE p IS NOT NULL) more ON more.c = last.at"""
     )

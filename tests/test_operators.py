@@ -154,3 +154,10 @@ def test_streaming_window(spark, tmp_path):
     q = windows.tumbling(stream, "ts", "event_type", "value", "1 day").writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT sum(n) FROM daily").first()[0] == spark.read.parquet(f"file://{tmp_path}/in").count()
+
+
+def test_lineage_has_no_root_beyond_its_depth(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, None), (10, 11), (11, 10), (12, 10)], "c long, p long")
+    got = {r.node: (r.root, r.depth) for r in joins.lineage(edges, "c", "p", 4).collect()}
+    assert [got[i] for i in range(6)] == [(None, 4), (None, 4), (6, 4), (6, 3), (6, 2), (6, 1)]
+    assert got[10][0] is None and got[11][0] is None and got[12][0] is None
