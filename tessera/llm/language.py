@@ -277,13 +277,16 @@ class Labeller:
 def train_language(docs: DataFrame, is_training: Column, max_docs: int = 2_400) -> Crf:
     """Learn from at most ``max_docs`` documents with a language, an equal share per language.
 
-    They are those first by a hash of doc_id; null texts, null languages are left out.
+    They are those first by a hash of doc_id; null texts, null languages are left out. Every
+    language is learned; more languages than ``max_docs`` are an error.
     """
     rows = docs.where(is_training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang")
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    langs = [r[0] for r in rows.groupBy("lang").count().select("lang").collect()]
     if not langs:
         return Crf([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
-    each = max(1, max_docs // len(langs))
+    if len(langs) > max_docs:
+        raise ValueError(f"{len(langs)} languages cannot share {max_docs} documents")
+    each = max_docs // len(langs)
     parts = [rows.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for x in sorted(langs)]
     picked = parts[0]
     for p in parts[1:]:

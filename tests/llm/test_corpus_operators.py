@@ -159,6 +159,14 @@ def test_language_on_held_out_documents(spark):
     assert tags[1] == "en" and tags[-2] == "de" and "fr" in tags
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{prose(i, 6)} tongue{i % 66}", f"l{i % 66:02d}") for i in range(132)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train_language(df, F.lit(True)).labels == sorted({r[2] for r in rows})
+    with pytest.raises(ValueError, match="66 languages"):
+        language.train_language(df, F.lit(True), max_docs=65)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     emission, transition = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
