@@ -326,11 +326,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 def keep_first_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row per component: the row of the smallest doc_id (ties: by text).
 
-    All columns are kept; rows with a null doc_id stay.
+    Components are of rows: texts that are not linked are both kept, also under one doc_id;
+    rows equal in doc_id and text are one. All columns are kept; rows with a null doc_id stay.
     """
-    found = jaccard_components(docs, **options).groupBy("doc_id").agg(F.min("component_id").alias("__component"))
-    heads = found.where("doc_id = __component").select(F.col("doc_id").alias("__id"))
-    kept = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col("__id"), "left_semi")
-    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("__row")
-    once = kept.groupBy("doc_id").agg(first).select("__row.*")
+    row_key = F.xxhash64("doc_id", "text")
+    known = docs.where("doc_id IS NOT NULL")
+    found = jaccard_components(known.select(row_key.alias("doc_id"), "text"), **options)
+    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("__component"))
+    placed = known.join(found, row_key == F.col("__key"))
+    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("doc_id", F.coalesce("text", F.lit("")))).alias("__row")
+    once = placed.groupBy("__component").agg(first).select("__row.*")
     return once.unionAll(docs.where("doc_id IS NULL"))

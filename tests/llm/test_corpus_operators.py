@@ -271,6 +271,13 @@ def test_join_equals_brute_force(docs, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in got})
 
 
+def test_unlinked_rows_of_one_doc_id_are_kept(spark):
+    rows = [(5, prose(90, 60)), (5, prose(91, 60)), (2, prose(91, 60)), (5, prose(92, 60)), (5, prose(92, 60)), (7, prose(90, 60)), (8, None), (8, ""), (None, "x")]
+    kept = ngramjoin.keep_first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = [(5, prose(90, 60)), (2, prose(91, 60)), (5, prose(92, 60)), (8, None), (8, ""), (None, "x")]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
 def test_large_group_of_near_copies(spark):
     base = prose(77, 120).split()
     rng = np.random.default_rng(3)
