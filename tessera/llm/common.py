@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_WORD_BPE = "word_bpe_49k.json"
 
@@ -43,6 +44,37 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class KeyTable:
+    """Aggregates per key that are joined back without gathering a frequent key in one task.
+
+    The table keeps each key's number of rows, whose sum is known, so at most ``SLOTS`` keys
+    can have more than a ``SLOTS``-th of all rows. Those are broadcast; the other keys, of
+    bounded size, are joined by a shuffle. Rows whose key is null or not in the table leave.
+    """
+
+    SLOTS, LIGHT = 8_192, 64
+
+    def __init__(self, table: DataFrame, keys: list[str], rows: str, name: str):
+        seen = Observation()
+        self.keys, self.rows = keys, rows
+        watched = table.observe(seen, F.sum(rows).alias("total"), F.max(rows).alias("most"), F.count(F.lit(1)).alias("keys"))
+        self.table = materialize(watched, name)
+        self.total, self.most, self.n_keys = seen.get["total"] or 0, seen.get["most"] or 0, seen.get["keys"] or 0
+
+    @classmethod
+    def of(cls, df: DataFrame, keys: list[str], name: str, *aggs: Column, having: str = "true") -> KeyTable:
+        """The table of ``df`` grouped by ``keys``, its rows counted in ``key_rows``."""
+        return cls(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"), *aggs).where(having), keys, "key_rows", name)
+
+    def join(self, df: DataFrame) -> DataFrame:
+        least = max(self.LIGHT, self.total // self.SLOTS)
+        if self.most <= least:
+            return df.join(self.table, self.keys)
+        heavy, light = self.table.where(F.col(self.rows) > least), self.table.where(F.col(self.rows) <= least)
+        rest = df.join(F.broadcast(heavy.select(self.keys)), self.keys, "left_anti")
+        return df.join(F.broadcast(heavy), self.keys).unionByName(rest.join(light, self.keys))
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a file or HDFS style URI."""
     from pyarrow import fs

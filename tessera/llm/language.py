@@ -8,6 +8,7 @@ code-switched text is labelled word by word; forward-backward gives the marginal
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -42,6 +43,11 @@ def gram_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(bucket)
 
 
+def letterless(words: list[str]) -> np.ndarray:
+    """Mask of the words without a letter of any script."""
+    return np.fromiter((not w.isalpha() and LETTER.search(w) is None for w in words), bool, len(words))
+
+
 @dataclass
 class Crf:
     """Emission weights, lexicon and transitions of a learned label set."""
@@ -49,9 +55,19 @@ class Crf:
     labels: list[str]
     weight: np.ndarray
     transition: np.ndarray
-    lexicon: dict[str, np.ndarray] = field(default_factory=dict)
+    lexicon: dict[str, int] = field(default_factory=dict)  # word -> row of lexicon_rows
+    lexicon_rows: np.ndarray | None = None
     lexicon_weight: float = 1.0
 
+    def lexical(self, words: list[str]) -> np.ndarray:
+        """Lexicon scores of ``words``; unknown words score nothing."""
+        out = np.zeros((len(words), len(self.labels)))
+        rows = np.fromiter((self.lexicon.get(w, -1) for w in words), np.int64, len(words))
+        known = rows >= 0
+        if known.any():
+            out[known] = self.lexicon_rows[rows[known]]
+        return out
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Score of every label for every word; words without letters score nothing."""
         n, k = len(words), len(self.labels)
@@ -61,11 +77,8 @@ class Crf:
         size = np.maximum(np.bincount(index, minlength=n), 1)
         got = self.weight[bucket]
         out = np.stack([np.bincount(index, got[:, c], n) for c in range(k)], 1) / np.sqrt(size)[:, None]
-        for i, w in enumerate(words):
-            if (known := self.lexicon.get(w)) is not None:
-                out[i] += self.lexicon_weight * known
-            if w.isascii() and not w.isalpha() and not LETTER.search(w):
-                out[i] = 0
+        out += self.lexicon_weight * self.lexical(words)
+        out[letterless(words)] = 0
         return out
 
 
@@ -147,7 +160,7 @@ def fit(texts: list[str], langs: list[str], sequences: int = 6_000, length: int
     by_label: list[list[list[str]]] = [[] for _ in labels]
     counts: dict[str, Counter] = defaultdict(Counter)
     for text, lang in zip(texts, langs):
-        words = [w for w in text.lower().split() if len(w) <= 64]
+        words = text.lower().split()
         if words:
             c = labels.index(lang)
             by_label[c].append(words)
@@ -157,11 +170,11 @@ def fit(texts: list[str], langs: list[str], sequences: int = 6_000, length: int
     if k < 2 or sum(map(bool, by_label)) < 2:
         return model
     docs = np.array([max(1, len(d)) for d in by_label], float)
-    for w, per in counts.items():
-        if sum(per.values()) >= 3:
-            rate_of = (np.array([per[c] for c in range(k)]) + 0.1) / docs
-            logs = np.log(rate_of)
-            model.lexicon[w] = np.clip(logs - logs.mean(), -3, 3)
+    common = [w for w, per in counts.items() if sum(per.values()) >= 3]
+    model.lexicon = {w: i for i, w in enumerate(common)}
+    logs = np.log((np.array([[counts[w][c] for c in range(k)] for w in common]).reshape(-1, k) + 0.1) / docs)
+    model.lexicon_rows = np.clip(logs - logs.mean(1, keepdims=True), -3, 3)
+    counts.clear()
     rng = np.random.default_rng(seed)
     words, truth = spliced(by_label, sequences, length, rng)
     unique, inverse = np.unique(np.array(words, object), return_inverse=True)
@@ -170,8 +183,7 @@ def fit(texts: list[str], langs: list[str], sequences: int = 6_000, length: int
     share = 1 / np.sqrt(np.maximum(np.bincount(index, minlength=len(unique)), 1))
     ends = np.searchsorted(index, np.arange(len(unique) + 1), sorter=(order := np.argsort(index, kind="stable")))
     bucket = bucket[order]
-    lexical = np.stack([model.lexicon.get(w, np.zeros(k)) for w in unique])
-    plain = np.array([LETTER.search(w) is None for w in unique])
+    lexical, plain = model.lexical(unique), letterless(unique)
     squares, batch = np.full((BUCKETS, k), 1e-6), 250 * length
     t_square, l_square = np.full((k, k), 1e-6), 1e-6
     for _ in range(epochs):
@@ -274,26 +286,36 @@ class Labeller:
             yield self.model.labels[int(mass.argmax())], float(min(1.0, mass.max() / mass.sum()))
 
 
-def train_language(docs: DataFrame, is_training: Column, max_docs: int = 2_400) -> Crf:
-    """Learn from at most ``max_docs`` documents with a language, an equal share per language.
+def train_language(docs: DataFrame, is_training: Column, max_docs: int = 2_400, max_bytes: int = 16 << 20) -> Crf:
+    """Learn from at most ``max_docs`` documents and ``max_bytes`` of text, an equal share per language.
 
-    They are those first by a hash of doc_id; null texts, null languages are left out. Every
-    language is learned; more languages than ``max_docs`` are an error.
+    They are those first by a hash of doc_id; null texts and null languages are left out, rows
+    that repeat count once, and a text longer than its language's share of the bytes is not
+    sampled. Every language is learned; more languages than ``max_docs`` are an error. The fit
+    runs in one task over the sample, so that the driver holds the learned weights alone.
     """
-    rows = docs.where(is_training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang")
-    langs = [r[0] for r in rows.groupBy("lang").count().select("lang").collect()]
+    rows = docs.where(is_training & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    keys = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("bytes"))
+    langs = [r[0] for r in keys.select("lang").distinct().limit(max_docs + 1).collect()]
     if not langs:
         return Crf([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
     if len(langs) > max_docs:
-        raise ValueError(f"{len(langs)} languages cannot share {max_docs} documents")
-    each = max_docs // len(langs)
-    parts = [rows.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each) for x in sorted(langs)]
-    picked = parts[0]
-    for p in parts[1:]:
-        picked = picked.unionAll(p)
-    full = docs.select("doc_id", "lang", "text").join(F.broadcast(picked.distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-    got = full.toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return fit(got["text"].tolist(), got["lang"].tolist())
+        raise ValueError(f"at least {len(langs)} languages cannot share {max_docs} documents")
+    share = max_bytes // len(langs)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key")
+    first = keys.where(F.col("bytes") <= share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs // len(langs))
+    so_far = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = first.withColumn("upto", so_far).where(F.col("upto") <= share).select("doc_id", "lang", "text_key").distinct()
+    full = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key")).join(F.broadcast(picked), ["doc_id", "lang", "text_key"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted({row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)))}, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
+        model = fit([r[2] for r in got], [r[1] for r in got])
+        model.weight = model.weight.astype(np.float32)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    learned = full.select("doc_id", "lang", "text").repartition(1).mapInArrow(learn, "model binary").first()
+    return pickle.loads(learned[0]) if learned else fit([], [])
 
 
 def predict_language(docs: DataFrame, model: Crf) -> DataFrame:
@@ -303,7 +325,7 @@ def predict_language(docs: DataFrame, model: Crf) -> DataFrame:
     empty table gives none; a column named lang_pred or score is replaced.
     """
     keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
@@ -315,4 +337,4 @@ def predict_language(docs: DataFrame, model: Crf) -> DataFrame:
                 [*cols, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"]
             )
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kept + ', ' if kept else ''}lang_pred string, score double")
+    return docs.select(*[f"`{c}`" for c in keep], "text").mapInArrow(run, f"{kept + ', ' if kept else ''}lang_pred string, score double")

@@ -6,14 +6,17 @@
 2. The global order is (frequency, fingerprint), rarest first. Sets that meet the threshold
    share a shingle among the first ``n - ceil(t n) + 1`` of either; shingles of one document
    only fill that prefix first, so few documents have anything left in it.
-3. Documents with equal sets become one class. Classes that share prefix shingles form
-   candidate groups; a group is cut into blocks of bounded size.
-4. In a block the ordered sets (most frequent first) form a trie. It is traversed once with
-   the overlaps of all probes at hand: a path adds each shared prefix once, and a subtree is
-   left when no probe can still reach its required overlap with the remaining length.
-5. Groups of several blocks are dealt a second time by another hash; what is then not in the
-   group's main component meets every block, so no link between different sets is lost
-   while pairs inside the main component are never enumerated.
+3. Documents with equal sets become one class; only its head goes on.
+4. A block is a bounded number of ordered sets (most frequent first) in a trie. It is
+   traversed once with the overlaps of all probes at hand: a path adds each shared prefix
+   once, and a subtree is left when no probe can still reach its required overlap with the
+   remaining length.
+5. Sets that agree in a minimum of hashed shingles meet first, in blocks, under two hashes.
+   This finds most links and labels what they connect.
+6. Every prefix shingle whose sets then carry two or more labels is still open: those outside
+   its most frequent label meet all of its sets, in blocks. Sets of one label are connected
+   already, and linked sets share a prefix shingle, so no link between labels is lost, while
+   pairs inside a group of near copies are never enumerated.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize, rolling, runs_of, utf8, word_hashes
+from .common import KeyTable, grouped, materialize, mix, rolling, runs_of, utf8, word_hashes
 from .components import components
 
 BITS = 48
@@ -116,8 +119,12 @@ def trie_links(keys: list[np.ndarray], sizes: np.ndarray, num: int, den: int, in
 
 
 def shared_sets(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_tokens: int = 1 << 20) -> DataFrame:
-    """(rid, doc_id, n, copy_key, keys) per row of ``docs``; keys only where the prefix reaches
-    shared shingles, as packed uint64 ``frequency << 48 | fingerprint`` in global order."""
+    """(rid, doc_id, n, copy_key, near1, near2, keys) per row of ``docs``.
+
+    Keys are there only where the prefix reaches shared shingles, as packed uint64
+    ``frequency << 48 | fingerprint`` in global order; near1 and near2 are then the least
+    shared shingles under two hashes, and copy_key a digest of a set that is shared whole.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -207,20 +214,23 @@ def shared_sets(docs: DataFrame, k: int, num: int, den: int, buckets: int, block
             order = np.lexsort((keys, place))
             keys, place = keys[order], place[order]
             cut = np.searchsorted(place, np.arange(len(ids) + 1))
-            packed, copies = [], []
+            packed, copies, near = [], [], np.zeros((2, len(ids)), np.int64)
+            hashed = [mix((keys & _MASK) + np.uint64(seed)) >> np.uint64(1) for seed in (1, 2)]
             for d, n in enumerate(ns.tolist()):
                 own = keys[cut[d] : cut[d + 1]]
                 live = bool(n) and prefix_length(n, num, den) > n - len(own)
                 packed.append(own.tobytes() if live else None)
-                copies.append(hashlib.md5((own & _MASK).tobytes()).hexdigest() if live and len(own) == n else None)
+                copies.append(hashlib.md5(np.sort(own & _MASK).tobytes()).hexdigest() if live and len(own) == n else None)
+                if live:
+                    near[:, d] = [h[cut[d] : cut[d + 1]].min() for h in hashed]
             block = int(group["block"].iloc[0])
-            yield pd.DataFrame({"rid": (block << 16) + np.arange(len(ids)), "doc_id": ids, "n": ns, "copy_key": copies, "keys": packed})
+            yield pd.DataFrame({"rid": (block << 16) + np.arange(len(ids)), "doc_id": ids, "n": ns, "copy_key": copies, "near1": near[0], "near2": near[1], "keys": packed})
 
     sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(
         spread, "bucket long, block long, base long, steps binary, places binary"
     )
     counted = grouped(sent, "bucket").mapInPandas(count, "block long, keys binary, places binary, meta boolean")
-    return grouped(counted, "block").mapInPandas(gather, "rid long, doc_id long, n long, copy_key string, keys binary")
+    return grouped(counted, "block").mapInPandas(gather, "rid long, doc_id long, n long, copy_key string, near1 long, near2 long, keys binary")
 
 
 # --------------------------------------------------------------------------- the join
@@ -241,6 +251,23 @@ def _join_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     return grouped(rows.select("block", "rid", "n", "keys", "indexed"), "block").mapInPandas(run, "a long, b long")
 
 
+def prefix_postings(live: DataFrame, num: int, den: int) -> DataFrame:
+    """(rid, token) of the shared shingles in the prefix of every set that has any."""
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rids, tokens = [], []
+            for rid, n, packed in zip(pdf["rid"], pdf["n"], pdf["keys"]):
+                own = np.frombuffer(packed, "<u8")
+                own = own[: prefix_length(n, num, den) - (n - len(own))]
+                rids.append(np.full(len(own), rid))
+                tokens.append(own.view(np.int64))
+            if rids:
+                yield pd.DataFrame({"rid": np.concatenate(rids), "token": np.concatenate(tokens)})
+
+    return live.select("rid", "n", "keys").mapInPandas(prefixes, "rid long, token long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, block_rows: int = 64, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row with a doc_id; link: den*|I| >= num*|U|.
 
@@ -257,72 +284,60 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     sets = materialize(shared_sets(docs, k, num, den, buckets), "shingle-sets")
 
     live = sets.where("keys IS NOT NULL")
-    classes = live.where("copy_key IS NOT NULL").groupBy("n", "copy_key").agg(F.min("rid").alias("head"))
-    copies = live.where("copy_key IS NOT NULL").join(classes, ["n", "copy_key"]).where("rid <> head").select(F.col("rid").alias("a"), F.col("head").alias("b"))
-    copies = materialize(copies, "copies")
-    heads = live.join(copies.select(F.col("a").alias("rid")), "rid", "left_anti").select("rid", "n", "keys")
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rids, tokens = [], []
-            for rid, n, packed in zip(pdf["rid"], pdf["n"], pdf["keys"]):
-                own = np.frombuffer(packed, "<u8")
-                own = own[: prefix_length(n, num, den) - (n - len(own))]
-                rids.append(np.full(len(own), rid))
-                tokens.append(own.view(np.int64))
-            if rids:
-                yield pd.DataFrame({"rid": np.concatenate(rids), "token": np.concatenate(tokens)})
+    whole = live.where("copy_key IS NOT NULL").select("rid", "n", "copy_key")
+    classes = KeyTable.of(whole, ["n", "copy_key"], "copy-classes", F.min("rid").alias("head"), having="key_rows > 1")
+    copies = materialize(classes.join(whole).where("rid <> head").select(F.col("rid").alias("a"), F.col("head").alias("b")), "copies")
+    is_copy = copies.select(F.col("a").alias("rid"))
 
-    postings = materialize(heads.mapInPandas(prefixes, "rid long, token long"), "postings")
-    leaders = postings.groupBy("token").agg(F.min("rid").alias("b"), F.max("rid").alias("top")).where("b <> top").drop("top")
-    star = postings.join(leaders, "token").select(F.col("rid").alias("a"), "b").distinct()
-    group_of = components(star).withColumnRenamed("node", "rid").withColumnRenamed("label", "grp")
-    group_of = materialize(group_of, "groups")
-    counts = group_of.groupBy("grp").agg(F.count("*").alias("members"))
-    placed = (
-        heads.join(group_of, "rid")
-        .join(counts, "grp")
-        .withColumn("blocks", F.ceil(F.col("members") / block_rows))
-        .withColumn("first", F.pmod(F.xxhash64("rid", F.lit(1)), "blocks"))
-        .withColumn("second", F.pmod(F.xxhash64("rid", F.lit(2)), "blocks"))
-    )
-    placed = materialize(placed, "placed")
-
-    def keyed(df: DataFrame, *parts: str) -> DataFrame:
-        return df.withColumn("block", F.concat_ws(":", *[F.col(p).cast("string") for p in parts]))
-
-    everything = placed.withColumn("indexed", F.lit(True))
-    large = everything.where("blocks > 1")
-    inside = _join_blocks(keyed(everything, "grp", "first"), num, den).unionAll(_join_blocks(keyed(large, "grp", "second"), num, den))
-    links = materialize(inside, "links")
-
-    if large.limit(1).count():
-        label_of = components(links.join(large.select(F.col("rid").alias("a")), "a", "left_semi"))
-        labelled = large.join(label_of.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-        labelled = materialize(labelled, "labelled")
-        per = labelled.groupBy("grp", "label").agg(F.count("*").alias("c"))
-        main = per.groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        outside = labelled.join(main, "grp").where("label <> main")
-        chunk_count = outside.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).alias("chunks"))
-        probes = (
-            outside.join(chunk_count, "grp")
-            .withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(3)), "chunks"))
-            .withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .withColumn("indexed", F.lit(False))
-        )
-        stored = labelled.join(chunk_count, "grp").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        cols = ["grp", "first", "chunk", "rid", "n", "keys", "indexed"]
-        across = _join_blocks(keyed(stored.select(cols).unionAll(probes.select(cols)), "grp", "first", "chunk"), num, den)
-        links = materialize(links.unionAll(across), "links")
+    postings = materialize(prefix_postings(live, num, den).join(is_copy, "rid", "left_anti"), "postings")
+
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("hash"), F.col(f"near{i}").alias("least")) for i in (1, 2)])).alias("x")
+    meets = live.select("rid", near).select("rid", "x.*").join(is_copy, "rid", "left_anti")
+    meeting = KeyTable.of(meets, ["hash", "least"], "near-keys", having="key_rows > 1").join(meets)
+    part = F.pmod(F.xxhash64("rid", "hash"), F.ceil(F.col("key_rows") / block_rows))
+    seats = meeting.select("rid", F.concat_ws(":", "hash", "least", part).alias("block"), F.lit(True).alias("indexed"))
+    links = materialize(_join_blocks(live.select("rid", "n", "keys").join(seats, "rid"), num, den), "links")
 
     final = materialize(components(links.unionAll(copies)).select(F.col("node").alias("rid"), "label"), "classes")
-    least = final.join(sets.select("rid", "doc_id"), "rid").groupBy("label").agg(F.min("doc_id").alias("least"))
-    lowest = final.join(least, "label").select("rid", "least")
-    return sets.select("rid", "doc_id", "n").join(lowest, "rid", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+    across = _open_links(postings, final, live, num, den, block_rows)
+    if across is not None:
+        known = final.where("rid <> label").select(F.col("rid").alias("a"), F.col("label").alias("b"))
+        final = materialize(components(known.unionAll(across)).select(F.col("node").alias("rid"), "label"), "classes")
+
+    ids = sets.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(final, "rid", "left")
+    least = KeyTable.of(ids.where("label IS NOT NULL"), ["label"], "least-ids", F.min("doc_id").alias("least"))
+    return (
+        least.join(ids)
+        .select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+        .unionAll(ids.where("label IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     )
 
 
+def _open_links(postings: DataFrame, labels: DataFrame, live: DataFrame, num: int, den: int, block_rows: int) -> DataFrame | None:
+    """Links between sets of different labels, or None where no prefix shingle has two labels.
+
+    Shingles with the very same sets are taken once. Of an open shingle, the sets outside its
+    most frequent label probe all of its sets, block by block.
+    """
+    placed = postings.join(labels, "rid", "left").select("rid", "token", F.coalesce("label", "rid").alias("label"))
+    digest = [F.sum(F.xxhash64("rid", F.lit(i)).cast("decimal(20,0)")).alias(f"d{i}") for i in (1, 2)]
+    per = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), *digest)
+    total = [F.sum(f"d{i}").alias(f"d{i}") for i in (1, 2)]
+    several = per.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("members"), F.max(F.struct("c", "label")).alias("main"), *total)
+    once = several.where("labels > 1").groupBy("members", "d1", "d2").agg(F.min("token").alias("token"), F.first("main").alias("main"))
+    once = once.select("token", "members", F.col("main.label").alias("main"), (F.col("members") - F.col("main.c")).alias("outside"))
+    tokens = KeyTable(once, ["token"], "members", "open-shingles")
+    if not tokens.n_keys:
+        return None
+    met = tokens.join(placed).withColumn("blocks", F.ceil(F.col("members") / block_rows)).withColumn("chunks", F.ceil(F.col("outside") / block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    stored = met.withColumn("first", F.pmod(F.xxhash64("rid", F.lit(3)), "blocks")).withColumn("chunk", every("chunks")).withColumn("indexed", F.lit(True))
+    probes = met.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(4)), "chunks")).withColumn("first", every("blocks")).withColumn("indexed", F.lit(False))
+    seats = stored.unionByName(probes).select("rid", F.concat_ws(":", "token", "first", "chunk").alias("block"), "indexed")
+    return materialize(_join_blocks(live.select("rid", "n", "keys").join(seats, "rid"), num, den), "open-links")
+
+
 def keep_first_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row per component: the row of the smallest doc_id (ties: by text).
 

@@ -292,6 +292,31 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("labelled", [0, 25])  # sets that carry the right label already
+def test_open_shingles_find_every_link_between_labels(spark, labelled):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(50):
+        w = prose(i // 10, 60).split()
+        for j in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            w[j] = f"edit{i}x{j}"
+        rows.append((i + 1, " ".join(w)))
+    want = {i: c for i, _, c in brute_components(rows, 4, 85, 100)}
+    live = ngramjoin.shared_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85, 100, 8).where("keys IS NOT NULL")
+    live = common.materialize(live, "live")
+    rid = {r.doc_id: r.rid for r in live.collect()}
+    first = {}
+    known = [(rid[i], first.setdefault(want[i], rid[i])) for i in sorted(rid)[:labelled]]
+    labels = spark.createDataFrame(known, "rid long, label long")
+    links = ngramjoin._open_links(ngramjoin.prefix_postings(live, 85, 100), labels, live, 85, 100, block_rows=4)
+    edges = links.unionAll(labels).toDF("a", "b")
+    got = {r.node: r.label for r in components.components(edges).collect()}
+    groups = {}
+    for i, r in rid.items():
+        groups.setdefault(got.get(r, r), set()).add(want[i])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({want[i] for i in rid})
+
+
 def test_trie_links_equal_pairs():
     rng = np.random.default_rng(9)
     pool = np.sort(rng.choice(1 << 40, 60, replace=False).astype(np.uint64))
@@ -316,12 +341,34 @@ def test_trie_links_equal_pairs():
     assert true and set(map(frozenset, links)) <= set(map(frozenset, true)) and groups(links) == groups(true)
 
 
-def test_components_of_a_path_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
-    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+@pytest.mark.parametrize("task_edges", [1 << 20, 10])  # finished in one task, and by star rounds alone
+def test_components_of_a_path_and_a_star(spark, task_edges):
+    edges = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 140)] + [(7, 7), (150, 150)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long").repartition(5), task_edges=task_edges).collect()
+    got = {r.node: r.label for r in found}
+    assert len(found) == len(got) == 100
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[i] == 100 for i in range(100, 140))
 
 
+def test_least_labels_of_random_edges():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 400, 300), rng.integers(0, 400, 300)
+    node, label = components.least_labels(a, b)
+    root = {i: i for i in range(400)}
+    for _ in range(400):
+        for x, y in zip(a, b):
+            root[x] = root[y] = min(root[x], root[y])
+    assert dict(zip(node.tolist(), label.tolist())) == {i: root[i] for i in set(a) | set(b)}
+
+
+def test_frequent_keys_join_back(spark):
+    rows = [(1 if i < 900 else i, i) for i in range(1_200)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(6)
+    table = common.KeyTable.of(df, ["k"], "t", F.min("v").alias("least"))
+    assert table.most == 900 > max(table.LIGHT, table.total // table.SLOTS)
+    assert sorted((r.v, r.least, r.key_rows) for r in table.join(df).collect()) == [(i, 0 if i < 900 else i, 900 if i < 900 else 1) for i in range(1_200)]
+
+
 # ------------------------------------------------------------------ 6 packing
 
 
