@@ -175,6 +175,17 @@ def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
         return mix((total[k:] - total[:-k])[:n] * down[:n])
 
 
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the word hashes of every span ``[start, end)``; its length takes part."""
+    up, down = _Tables.get(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+        value = (total[ends] - total[starts]) * down[starts]
+        value += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(value)
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty, a lone surrogate is replaced."""
     return b"" if text is None else text.encode("utf-8", "replace")

@@ -317,24 +317,26 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 def _open_links(postings: DataFrame, labels: DataFrame, live: DataFrame, num: int, den: int, block_rows: int) -> DataFrame | None:
     """Links between sets of different labels, or None where no prefix shingle has two labels.
 
-    Shingles with the very same sets are taken once. Of an open shingle, the sets outside its
-    most frequent label probe all of its sets, block by block.
+    Open shingles are gathered by a leader, the set that comes first by a hash among those of
+    the shingle; shingles of the same sets so meet once. The sets of a leader that are outside
+    its most frequent label probe all of its sets, block by block.
     """
     placed = postings.join(labels, "rid", "left").select("rid", "token", F.coalesce("label", "rid").alias("label"))
-    digest = [F.sum(F.xxhash64("rid", F.lit(i)).cast("decimal(20,0)")).alias(f"d{i}") for i in (1, 2)]
-    per = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), *digest)
-    total = [F.sum(f"d{i}").alias(f"d{i}") for i in (1, 2)]
-    several = per.groupBy("token").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("members"), F.max(F.struct("c", "label")).alias("main"), *total)
-    once = several.where("labels > 1").groupBy("members", "d1", "d2").agg(F.min("token").alias("token"), F.first("main").alias("main"))
-    once = once.select("token", "members", F.col("main.label").alias("main"), (F.col("members") - F.col("main.c")).alias("outside"))
-    tokens = KeyTable(once, ["token"], "members", "open-shingles")
+    leader = F.min(F.struct(F.xxhash64("rid").alias("hash"), "rid"))
+    per = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), leader.alias("first"))
+    several = per.groupBy("token").agg(F.sum("c").alias("members"), F.count(F.lit(1)).alias("labels"), F.min("first").alias("first"))
+    tokens = KeyTable(several.where("labels > 1").select("token", "members", F.col("first.rid").alias("leader")), ["token"], "members", "open-shingles")
     if not tokens.n_keys:
         return None
-    met = tokens.join(placed).withColumn("blocks", F.ceil(F.col("members") / block_rows)).withColumn("chunks", F.ceil(F.col("outside") / block_rows))
+    met = materialize(tokens.join(placed).select("leader", "rid", "label").distinct(), "open-sets")
+    per = met.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("leader").agg(F.sum("c").alias("members"), F.max(F.struct("c", "label")).alias("main"))
+    main = main.select("leader", "members", F.col("main.label").alias("main"), (F.col("members") - F.col("main.c")).alias("outside"))
+    met = KeyTable(main, ["leader"], "members", "open-leaders").join(met).withColumns({"blocks": F.ceil(F.col("members") / block_rows), "chunks": F.ceil(F.col("outside") / block_rows)})
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     stored = met.withColumn("first", F.pmod(F.xxhash64("rid", F.lit(3)), "blocks")).withColumn("chunk", every("chunks")).withColumn("indexed", F.lit(True))
     probes = met.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(4)), "chunks")).withColumn("first", every("blocks")).withColumn("indexed", F.lit(False))
-    seats = stored.unionByName(probes).select("rid", F.concat_ws(":", "token", "first", "chunk").alias("block"), "indexed")
+    seats = stored.unionByName(probes).select("rid", F.concat_ws(":", "leader", "first", "chunk").alias("block"), "indexed")
     return materialize(_join_blocks(live.select("rid", "n", "keys").join(seats, "rid"), num, den), "open-links")
 
 

@@ -2,18 +2,18 @@
 
 A window is ``window`` consecutive words. Suffixes are indexed where repeats can start:
 
-1. Each window has one anchor, the smallest k-word prefix hash inside it. Consecutive
-   windows share anchors, so a document sends few anchors. Documents with the same word
-   sequence as an earlier one are set aside first: their windows are all repeats.
-2. Anchors that only one document has are dropped. For the others the windows' words are cut
-   out of the text as runs, and the anchor's k-word prefix partitions them.
-3. Prefixes of few runs are grouped into partitions of bounded size. There, the suffixes of
-   all runs are sorted by prefix doubling down to ``window`` words (a depth-limited suffix
-   tree in its array form); its internal nodes of that depth are the repeats, and each
-   knows the least document below it.
-4. A prefix too frequent for one partition is extended to the full window length; such a
-   node is a leaf group of its own, and a minimum per node, combined before the shuffle,
-   replaces the subtree.
+1. Each window has one anchor, the smallest 8-word hash inside it. Consecutive windows share
+   anchors, so a document has few; the words of the windows of one anchor are a run. Documents
+   with the same word sequence as an earlier one are set aside first: all their windows repeat.
+2. Runs with the same words are one content, which knows its least document. Anchors that one
+   document alone has are dropped; an anchor with a single content needs no tree.
+3. The anchor is the prefix that partitions the suffixes. Prefixes of few contents are grouped
+   into partitions of bounded size; a prefix of too many is lengthened, first to about half a
+   window to either side of the anchor (each window holds one of the two), then to the window.
+4. A group becomes a suffix tree in its array form: suffixes sorted by prefix doubling over
+   exact words, with the longest common prefix of neighbours. Its internal nodes of window
+   depth are the repeats, and each knows the least document below it.
+5. What a content learns goes to its members, which are as many as the runs.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, materialize, mix, rolling, runs_of, utf8, word_hashes
+from .common import KeyTable, grouped, materialize, mix, rolling, runs_of, span_hashes, utf8, word_hashes
 
 PREFIX = 8
+NONE = np.iinfo(np.int64).max
 
 
 def anchors(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,27 +61,42 @@ def anchors(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.nda
     return grams[best[first]], best[first], first, last
 
 
-def deep_nodes(runs: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, start, node) of every suffix of ``window`` words, node: id of equal windows.
+def suffix_order(runs: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, place, lcp) of the suffixes of at least ``window`` words, in sorted order.
 
-    Suffixes are ranked by prefix doubling over the exact word numbers: ranks of 2w words
-    come from pairs of ranks of w words, the last step overlaps to reach ``window``.
+    ``place`` is the suffix's place in the runs laid end to end. ``lcp`` is the length of the
+    common prefix with the suffix before, counted up to ``window``. Ranks of words come from
+    exact word numbers; ranks of 2w words from pairs of ranks of w words.
     """
-    text = np.concatenate(runs)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    width = 1
-    while width < window:
-        step = min(width, window - width)
-        right = np.zeros(len(rank), np.int64)
-        right[: len(rank) - step] = rank[step:] + 1
-        _, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + right, return_inverse=True)
-        width += step
-    sizes = np.array([len(r) for r in runs]) - window + 1
-    base = np.cumsum([0] + [len(r) for r in runs[:-1]])
-    run = np.repeat(np.arange(len(runs)), sizes)
-    start = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return run, start, rank[base[run] + start]
+    _, rank = np.unique(np.concatenate(runs), return_inverse=True)
+    ranks, width = [rank.astype(np.int64)], 1
+    while width * 2 <= window:
+        low = ranks[-1]
+        right = np.zeros(len(low), np.int64)
+        right[: max(0, len(low) - width)] = low[width:] + 1
+        ranks.append(np.unique(low * (int(low.max(initial=0)) + 2) + right, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    sizes = np.array([len(r) for r in runs])
+    counts = np.maximum(sizes - window + 1, 0)
+    run = np.repeat(np.arange(len(runs)), counts)
+    start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = (np.cumsum(sizes) - sizes)[run] + start
+    order = np.lexsort((ranks[-1][place + window - width], ranks[-1][place]))
+    run, start, place = run[order], start[order], place[order]
+    lcp = np.zeros(len(place), np.int64)
+    left, right = place[:-1], place[1:]
+    for k in range(len(ranks) - 1, -1, -1):
+        low, step = ranks[k], 1 << k
+        fits = np.flatnonzero(lcp[1:] + step <= window)
+        at = lcp[1:][fits]
+        lcp[1 + fits[low[left[fits] + at] == low[right[fits] + at]]] += step
+    return run, start, place, lcp
+
+
+def deep_nodes(runs: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, node) of the suffixes; suffixes below one node of depth ``window`` share its id."""
+    run, start, _, lcp = suffix_order(runs, window)
+    return run, start, np.cumsum(lcp < window) - 1
 
 
 def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -91,19 +107,75 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_starts(docs: DataFrame, window: int = 50, hot: int = 256, run_rows: int = 6_000) -> tuple[DataFrame, DataFrame]:
+def _least_below(runs: list[np.ndarray], docs: np.ndarray, window: int) -> list[np.ndarray]:
+    """Per run, the least document that has the window at each start (``docs``: one per run)."""
+    run, start, node = deep_nodes(runs, window)
+    below = np.full(int(node.max(initial=-1)) + 1, NONE)
+    np.minimum.at(below, node, docs[run])
+    counts = np.array([max(0, len(r) - window + 1) for r in runs])
+    flat = np.empty(len(run), np.int64)
+    flat[(np.cumsum(counts) - counts)[run] + start] = below[node]
+    return np.split(flat, np.cumsum(counts)[:-1])
+
+
+_LEARNT = "prefix long, run long, offset int, leasts binary, least long"
+
+
+def _cut(docs: DataFrame, contents: DataFrame, cutter, schema: str) -> DataFrame:
+    """Rows that ``cutter(doc_id, words, hashes, mark)`` gives for the marks of each document.
+
+    ``contents`` (doc_id, text_key, prefix, run, first, last, most) names the document that a
+    content's words are taken from, so every content is read once.
+    """
+    marks = contents.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "run", "first", "last", "most")).alias("marks"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text, marks in zip(pdf["doc_id"], pdf["text"], pdf["marks"]):
+                raw = utf8(text)
+                words, hashes = raw.split(), word_hashes(raw)[0]
+                for m in marks:
+                    rows.extend(cutter(doc_id, words, hashes, m))
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    once = docs.join(marks, ["doc_id", "text_key"]).select("doc_id", "text", "marks")
+    return once.mapInPandas(cut, schema)
+
+
+def _trees(rows: DataFrame, window: int, buckets: int) -> DataFrame:
+    """What the contents of each prefix group learn; rows (key, prefix, run, offset, doc_id, most, words)."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs_of(batches, "bucket"):
+            numbers: dict[bytes, int] = {}
+            runs = [np.array([numbers.setdefault(w, len(numbers)) for w in r.split()], np.int64) for r in group["words"]]
+            leasts = _least_below(runs, group["doc_id"].to_numpy(), window)
+            useful = [bool((x < m).any()) for x, m in zip(leasts, group["most"])]
+            if any(useful):
+                found = group.loc[useful, ["prefix", "run", "offset"]]
+                yield found.assign(leasts=[x.astype("<i8").tobytes() for x, u in zip(leasts, useful) if u], least=None)
+
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).drop("key")
+    return grouped(dealt, "bucket").mapInPandas(build, _LEARNT)
+
+
+def repeated_starts(docs: DataFrame, window: int = 50, max_runs: int = 4_096, group_runs: int = 6_000) -> tuple[DataFrame, DataFrame]:
     """(summary, affected) of ``docs`` (doc_id, text).
 
     summary: doc_id, text_key, n_words, word_sha, copy (an earlier document has all its
-    words). affected: doc_id, text_key, text, starts (packed int32 window starts that also
-    start in a document with a smaller doc_id) of documents that may have any.
+    words). affected: doc_id, text_key, text, marks of documents that may have windows that
+    also start in a document with a smaller doc_id. A prefix of more than ``max_runs``
+    contents is lengthened; groups of smaller ones hold about ``group_runs``.
     """
     spark = docs.sparkSession
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["prefix", "at", "first", "last"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        names = ["prefix", "run", "first", "last"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -113,112 +185,100 @@ def repeated_starts(docs: DataFrame, window: int = 50, hot: int = 256, run_rows:
                     hashes, _, _ = word_hashes(raw)
                     n_words.append(len(hashes))
                     shas.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
-                    got = anchors(hashes, window, PREFIX)
-                    sizes.append(len(got[0]))
-                    for held, x in zip(found, (got[0].view(np.int64), *got[1:])):
-                        held.append(x)
-                flat = [pa.array(np.concatenate(x), k) for x, k in zip(found, kinds)]
+                    prefix, _, first, last = anchors(hashes, window, PREFIX)
+                    sizes.append(len(prefix))
+                    if len(prefix):
+                        for held, x in zip(found, (prefix.view(np.int64), span_hashes(hashes, first, last + window).view(np.int64), first, last)):
+                            held.append(x)
+                flat = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), k) for x, k in zip(found, kinds)]
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, names))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(n_words, pa.int64()), pa.array(shas), lists], names=["doc_id", "text_key", "n_words", "word_sha", "anchors"]
                 )
 
-    schema = "doc_id long, text_key long, n_words long, word_sha string, anchors array<struct<prefix:long,at:int,first:int,last:int>>"
-    scanned = materialize(docs.select("doc_id", "text", F.coalesce("text_key", F.lit(0)).alias("text_key")).mapInArrow(scan, schema), "anchors")
+    schema = "doc_id long, text_key long, n_words long, word_sha string, anchors array<struct<prefix:long,run:long,first:int,last:int>>"
+    scanned = materialize(docs.select("doc_id", "text", "text_key").mapInArrow(scan, schema), "anchors")
 
-    least = scanned.where(F.col("n_words") >= window).groupBy("word_sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").drop("most")
-    copies = scanned.where(F.col("n_words") >= window).join(least, "word_sha").where("doc_id > least").select("doc_id", "text_key").distinct()
+    long = scanned.where(F.col("n_words") >= window).select("doc_id", "text_key", "word_sha")
+    same = KeyTable.of(long, ["word_sha"], "word-classes", F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), having="least < greatest")
+    copies = same.join(long).where("doc_id > least").select("doc_id", "text_key").distinct()
     copies = materialize(copies.withColumn("copy", F.lit(True)), "copies")
     summary = scanned.select("doc_id", "text_key", "n_words", "word_sha").join(copies, ["doc_id", "text_key"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
 
-    places = scanned.where(F.size("anchors") > 0).join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text_key", F.inline("anchors"))
-    shared = places.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("runs")).where("least < most")
-    live = places.join(shared.select("prefix", "runs"), "prefix")
-    per_doc = live.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("prefix", "at", "first", "last", "runs")).alias("anchors"))
-    affected = materialize(
-        docs.withColumn("text_key", F.coalesce("text_key", F.lit(0))).join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors"), "affected", codec="zstd"
-    )
-    total, n_docs = affected.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)), F.count("*")).first()
+    places = scanned.select("doc_id", "text_key", F.inline("anchors"))
+    shared = KeyTable.of(places, ["prefix"], "shared-prefixes", F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), having="least < greatest")
+    places = shared.join(places).select("doc_id", "text_key", "prefix", "run", "first", "last").join(copies, ["doc_id", "text_key"], "left_anti")
+    places = materialize(places, "live-anchors")
+    source = F.min(F.struct("doc_id", "text_key", "first", "last")).alias("source")
+    contents = places.groupBy("prefix", "run").agg(source, F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("members"))
+    per_prefix = contents.groupBy("prefix").agg(F.min("source.doc_id").alias("least"), F.max("most").alias("greatest"), F.count(F.lit(1)).alias("runs"))
+    prefixes = KeyTable(per_prefix.where("least < greatest").select("prefix", "runs"), ["prefix"], "runs", "prefixes")
+    contents = materialize(prefixes.join(contents).select("prefix", "run", "source.*", "most", "members", "runs"), "contents")
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * parts, -(-total // run_rows))
-    slices = max(2 * parts, n_docs // 2_000)
+    buckets = max(4 * parts, -(-prefixes.total // group_runs))
 
-    def cut_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, key, text, marks in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], pdf["anchors"]):
-                words = utf8(text).split()
-                for m in marks:
-                    if m["runs"] <= hot:
-                        rows.append((m["prefix"] % buckets, doc_id, key, m["first"], b" ".join(words[m["first"] : m["last"] + window])))
-            if rows:
-                yield pd.DataFrame(rows, columns=["bucket", "doc_id", "text_key", "first", "run"])
+    def whole(doc_id: int, words: list[bytes], hashes: np.ndarray, m: dict) -> Iterator[tuple]:
+        yield m["prefix"], m["prefix"], m["run"], 0, doc_id, m["most"], b" ".join(words[m["first"] : m["last"] + window])
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs_of(batches, "bucket"):
-            numbers: dict[bytes, int] = {}
-            runs = [np.array([numbers.setdefault(w, len(numbers)) for w in r.split()], np.int64) for r in group["run"]]
-            run, start, node = deep_nodes(runs, window)
-            ids, keys, first = group["doc_id"].to_numpy(), group["text_key"].to_numpy(), group["first"].to_numpy()
-            below = np.full(int(node.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(below, node, ids[run])
-            hit = np.flatnonzero(below[node] < ids[run])
-            if len(hit):
-                found = pd.DataFrame({"doc_id": ids[run[hit]], "text_key": keys[run[hit]], "start": (first[run[hit]] + start[hit]).astype("<i4")})
-                found = found.groupby(["doc_id", "text_key"], sort=False)["start"].agg(lambda s: s.to_numpy("<i4").tobytes()).reset_index()
-                yield found.rename(columns={"start": "starts"})
-
-    marks_schema = "doc_id long, text_key long, starts binary"
-    small = affected.where(F.exists("anchors", lambda m: m["runs"] <= hot))
-    cut = small.mapInPandas(cut_runs, "bucket long, doc_id long, text_key long, first int, run binary")
-    tree_marks = grouped(cut, "bucket").mapInPandas(build, marks_schema)
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_id, key, text, marks in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], pdf["anchors"]):
-                spans = [np.arange(m["first"], m["last"] + 1) for m in marks if m["runs"] > hot]
-                if not spans:
-                    continue
-                hashes, _, _ = word_hashes(utf8(text))
-                at = np.concatenate(spans)
-                yield pd.DataFrame(
-                    {"node": rolling(hashes, window)[at].view(np.int64), "check": rolling(mix(hashes), window, seed=1)[at].view(np.int64), "doc_id": doc_id, "text_key": key, "start": at.astype(np.int32)}
-                )
+    tree_schema = "key long, prefix long, run long, offset int, doc_id long, most long, words binary"
+    few = _cut(docs, contents.where(f"runs BETWEEN 2 AND {max_runs}"), whole, tree_schema)
+    learnt = _trees(few, window, buckets)
+    if prefixes.most > max_runs:
+        learnt = learnt.unionAll(_lengthened(docs, contents.where(f"runs > {max_runs}"), window, max_runs, buckets))
+    alone = contents.where("runs = 1 AND doc_id < most").select("prefix", "run", F.lit(0).alias("offset"), F.lit(None).cast("binary").alias("leasts"), F.lit(None).cast("long").alias("least"))
 
-    def batched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for x in extend(batches):
-            held.append(x)
-            size += len(x)
-            if size >= 50_000:
-                yield pd.concat(held)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held)
-
-    frequent = affected.where(F.exists("anchors", lambda m: m["runs"] > hot)).mapInPandas(batched, "node long, check long, doc_id long, text_key long, start int")
-    frequent = materialize(frequent, "extended")
-    nodes = frequent.groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    # members of a node are packed per slice of the documents, so that a common passage makes
-    # as many rows as there are slices and a row holds at most one slice's documents
-    member = F.struct("doc_id", "text_key", "start")
-    packed = frequent.groupBy("node", "check", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice")).agg(F.collect_list(member).alias("members"))
-    hits = packed.join(nodes, ["node", "check"]).select("slice", "least", "members")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for group in runs_of(batches, "slice"):
-            rows = [(m["doc_id"], m["text_key"], m["start"]) for least, members in zip(group["least"], group["members"]) for m in members if m["doc_id"] > least]
-            if rows:
-                found = pd.DataFrame(rows, columns=["doc_id", "text_key", "start"])
-                found = found.groupby(["doc_id", "text_key"], sort=False)["start"].agg(lambda s: s.to_numpy("<i4").tobytes()).reset_index()
-                yield found.rename(columns={"start": "starts"})
+    packed = learnt.unionAll(alone).groupBy("prefix", "run").agg(F.collect_list(F.struct("offset", "leasts", "least")).alias("learnt"))
+    told = packed.join(contents.select("prefix", "run", F.col("doc_id").alias("least"), "members"), ["prefix", "run"])
+    told = KeyTable(told, ["prefix", "run"], "members", "learnt")
+    marks = told.join(places).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "least", "learnt")).alias("marks"))
+    return summary, docs.join(marks, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "marks")
 
-    leaf_marks = grouped(hits, "slice").mapInPandas(mark, marks_schema)
-    all_marks = tree_marks.unionAll(leaf_marks)
-    starts = all_marks.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
-    marked = affected.select("doc_id", "text_key", "text").join(starts, ["doc_id", "text_key"])
-    return summary, marked
+
+def _lengthened(docs: DataFrame, contents: DataFrame, window: int, max_runs: int, buckets: int) -> DataFrame:
+    """What contents of a prefix that too many share learn, by longer prefixes.
+
+    The windows of a run are parted: those that start less than half a window before the end
+    of the prefix hold its right context, the others its left context. Either context is the
+    longer prefix of its part. Where that is still too frequent, it is lengthened to whole
+    windows, whose nodes are single: a minimum per node, combined before the shuffle.
+    """
+
+    def parted(doc_id: int, words: list[bytes], hashes: np.ndarray, m: dict) -> Iterator[tuple]:
+        grams = rolling(hashes[m["first"] : m["last"] + window], PREFIX)
+        at = m["first"] + int(np.flatnonzero(grams.view(np.int64) == m["prefix"])[0])
+        half = (window - PREFIX) // 2
+        left, right = (at - half, at + PREFIX), (at, at + window - half)
+        for first, last, context in ((m["first"], min(m["last"], at - half - 1), left), (max(m["first"], at - half), m["last"], right)):
+            if first <= last:
+                key = span_hashes(hashes, np.array([context[0]]), np.array([context[1]])).view(np.int64)[0]
+                yield int(key), m["prefix"], m["run"], first - m["first"], doc_id, m["most"], b" ".join(words[first : last + window])
+
+    schema = "key long, prefix long, run long, offset int, doc_id long, most long, words binary"
+    parts = materialize(_cut(docs, contents, parted, schema), "longer-prefixes")
+    keys = KeyTable.of(parts.select("key", "doc_id", "most"), ["key"], "longer-keys", F.min("doc_id").alias("least"), F.max("most").alias("greatest"), having="least < greatest")
+    live = keys.join(parts).select("key_rows", *parts.columns)
+    learnt = _trees(live.where(f"key_rows <= {max_runs}").drop("key_rows"), window, buckets)
+    if keys.most <= max_runs:
+        return learnt
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 1_000):
+                out = []
+                for prefix, run, offset, doc_id, most, words in pdf.iloc[a : a + 1_000][["prefix", "run", "offset", "doc_id", "most", "words"]].itertuples(index=False):
+                    hashes, _, _ = word_hashes(words)
+                    node = rolling(hashes, window).view(np.int64)
+                    check = rolling(mix(hashes), window, seed=1).view(np.int64)
+                    out.append(pd.DataFrame({"node": node, "check": check, "doc_id": doc_id, "most": most, "prefix": prefix, "run": run, "offset": np.int32(offset) + np.arange(len(node), dtype=np.int32)}))
+                yield pd.concat(out)
+
+    leaf = live.where(f"key_rows > {max_runs}").mapInPandas(windows, "node long, check long, doc_id long, most long, prefix long, run long, offset int")
+    leaf = materialize(leaf, "whole-windows")
+    nodes = KeyTable.of(leaf, ["node", "check"], "window-nodes", F.min("doc_id").alias("least"), F.max("most").alias("greatest"), having="least < greatest")
+    found = nodes.join(leaf).where("least < most").select("prefix", "run", "offset", F.lit(None).cast("binary").alias("leasts"), "least")
+    return learnt.unionAll(found)
 
 
 def removed_words(docs: DataFrame, window: int = 50, **options) -> DataFrame:
@@ -235,11 +295,21 @@ def removed_words(docs: DataFrame, window: int = 50, **options) -> DataFrame:
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, key, text, packed in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], pdf["starts"]):
-                words = utf8(text).split()
-                gone = covered(np.unique(np.frombuffer(b"".join(packed), "<i4")).astype(np.int64), len(words), window)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                rows.append((doc_id, key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            for doc_id, key, text, marks in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], pdf["marks"]):
+                words, starts = utf8(text).split(), []
+                for m in marks:
+                    for part in m["learnt"]:
+                        if part["leasts"] is not None:  # one least document per start
+                            leasts = np.frombuffer(part["leasts"], "<i8")
+                            starts.append(m["first"] + part["offset"] + np.flatnonzero(leasts < doc_id))
+                        elif part["least"] is not None:  # of one start
+                            starts.append(np.arange(1)[: part["least"] < doc_id] + m["first"] + part["offset"])
+                        elif m["least"] < doc_id:  # the run is a single content
+                            starts.append(np.arange(m["first"], m["last"] + 1))
+                gone = covered(np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64), len(words), window)
+                if gone.any():
+                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+                    rows.append((doc_id, key, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_removed", "sha", "kept"])
 

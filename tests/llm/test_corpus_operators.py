@@ -212,12 +212,36 @@ def brute_windows(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 3, 256])
-def test_substrings_equal_brute_force(docs, hot):
-    want = brute_windows(texts_of(docs))
-    rows = substring.removed_words(docs, hot=hot).collect()
-    assert len(rows) == docs.count()
-    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in rows)
+@pytest.fixture(scope="module")
+def passages(spark):
+    """Documents that share passages and lines of several lengths, some in many contexts."""
+    rng, rows = np.random.default_rng(12), []
+    shared, line, loop = [prose(800 + i, int(n)).split() for i, n in enumerate((51, 70, 130))], prose(850, 20).split(), ["la", "li", "lu"] * 25
+    for i in range(90):
+        words = []
+        for j in range(int(rng.integers(1, 5))):
+            words += prose(10_000 + 10 * i + j, int(rng.integers(5, 60))).split()
+            part = [*shared, line, line, loop][int(rng.integers(0, 6))]
+            a = int(rng.integers(0, 4))
+            words += part[a : len(part) - int(rng.integers(0, 4))]
+        rows.append((200 - i, " ".join(words)))
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+@pytest.mark.parametrize("max_runs", [1, 4, 4_096])  # whole windows, both contexts, plain prefixes
+def test_substrings_equal_brute_force(docs, passages, max_runs):
+    for table in (docs, passages):
+        want = brute_windows(texts_of(table))
+        rows = substring.removed_words(table, max_runs=max_runs, group_runs=20).collect()
+        assert len(rows) == table.count()
+        assert [r for r in rows if (r.n_words, r.n_removed, r.kept_sha256) != want[r.doc_id]] == []
+        assert sum(r.n_removed for r in rows) > 100
+
+
+def test_null_doc_ids_leave_and_repeated_ids_are_not_earlier(spark):
+    rows = [(None, prose(1, 80)), (3, prose(1, 80)), (3, prose(1, 80) + " x"), (4, prose(1, 80) + " y"), (5, None)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.removed_words(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 80, 0), (3, 81, 0), (4, 81, 80), (5, 0, 0)]
 
 
 def test_substrings_keep_columns(docs, empty):
@@ -236,6 +260,10 @@ def test_deep_nodes_are_window_classes():
     for r, s, x in zip(run, start, node):
         classes.setdefault(tuple(runs[r][s : s + 7]), set()).add(int(x))
     assert all(len(v) == 1 for v in classes.values()) and len(set(node.tolist())) == len(classes)
+    run, start, _, lcp = substring.suffix_order(runs, 7)
+    windows = [tuple(runs[r][s : s + 7]) for r, s in zip(run, start)]
+    common = [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 7) for a, b in zip(windows, windows[1:])]
+    assert lcp[1:].tolist() == common
 
 
 # ------------------------------------------------------------------ 5 n-gram join
