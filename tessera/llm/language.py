@@ -289,21 +289,29 @@ class Labeller:
 def train_language(docs: DataFrame, is_training: Column, max_docs: int = 2_400, max_bytes: int = 16 << 20) -> Crf:
     """Learn from at most ``max_docs`` documents and ``max_bytes`` of text, an equal share per language.
 
-    They are those first by a hash of doc_id; null texts and null languages are left out, rows
+    They are those whose hash of doc_id has the fewest bits; null texts and null languages are left out, rows
     that repeat count once, and a text longer than its language's share of the bytes is not
     sampled. Every language is learned; more languages than ``max_docs`` are an error. The fit
     runs in one task over the sample, so that the driver holds the learned weights alone.
     """
     rows = docs.where(is_training & F.col("text").isNotNull() & F.col("lang").isNotNull())
     keys = rows.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("bytes"))
-    langs = [r[0] for r in keys.select("lang").distinct().limit(max_docs + 1).collect()]
+    hashed = keys.withColumn("hash", F.xxhash64("doc_id")).withColumn("bits", F.length(F.bin("hash")))
+    # a hash of few bits is rare: per language, the rows of so few bits that just enough are left
+    counts: dict[str, dict[int, int]] = defaultdict(dict)
+    for lang, bits, n in hashed.groupBy("lang", "bits").count().limit(65 * (max_docs + 1)).collect():
+        counts[lang][bits] = n
+    langs = sorted(counts)
     if not langs:
-        return Crf([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
+        return fit([], [])
     if len(langs) > max_docs:
         raise ValueError(f"at least {len(langs)} languages cannot share {max_docs} documents")
-    share = max_bytes // len(langs)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key")
-    first = keys.where(F.col("bytes") <= share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs // len(langs))
+    share, each = max_bytes // len(langs), max_docs // len(langs)
+    most = {x: next((b for b in range(65) if sum(n for at, n in counts[x].items() if at <= b) >= 2 * each), 64) for x in langs}
+    limits = docs.sparkSession.createDataFrame(sorted(most.items()), "lang string, most int")
+    near = hashed.join(F.broadcast(limits), "lang").where("bits <= most")
+    order = Window.partitionBy("lang").orderBy("bits", "hash", "doc_id", "text_key")
+    first = near.where(F.col("bytes") <= share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     so_far = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     picked = first.withColumn("upto", so_far).where(F.col("upto") <= share).select("doc_id", "lang", "text_key").distinct()
     full = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_key")).join(F.broadcast(picked), ["doc_id", "lang", "text_key"])

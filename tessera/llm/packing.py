@@ -2,8 +2,10 @@
 
 Each document is cut into full windows and a remainder. A remainder goes to the open fill
 level that minimises the sum of squared counts of partially filled windows; the counts are
-one array indexed by fill level. Windows that stay partial when a partition ends are joined
-by cutting, so a partition pads at most one window.
+one array indexed by fill level. An item that reaches the end of a window is cut there and
+what is left of it is placed anew, at a price that keeps such cuts rare, so the sum of squares
+also bounds the number of open windows. The few that stay partial when a partition ends are
+joined by cutting, so a partition pads at most one window.
 """
 
 from __future__ import annotations
@@ -21,29 +23,45 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class SumOfSquaresPacker:
-    """Online packer; ``add`` yields the pieces of windows that became final."""
+    """Online packer; ``add`` yields the pieces of windows that became final.
 
-    def __init__(self, window: int = 2_048, max_open: int = 4_096):
-        self.window, self.max_open = window, max_open
-        self.level = np.zeros(window + 1, np.int64)  # open windows at each fill; ends stay 0
-        self.open: list[list[list]] = [[] for _ in range(window + 1)]
-        self.n_open = 0
+    Level l holds the open windows with ``l * quantum`` to ``(l + 1) * quantum - 1`` tokens. A
+    cut that leaves up to a quantum of an item is free, a longer one costs ``cut_price``.
+    """
+
+    def __init__(self, window: int = 2_048, levels: int = 32, cut_price: int = 6):
+        self.window, self.cut_price = window, cut_price
+        self.quantum = max(1, -(-window // levels))
+        n = -(-window // self.quantum)
+        self.level = np.zeros(n + 1, np.int64)  # open windows per level; the last entry stays 0
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(n)]  # (fill, pieces)
+        self.fill = np.zeros(n, np.int64)  # of the window that would be taken next
         self.next = 0
+        self.closed = self.joined = self.whole = 0  # windows by the rule, by the last flush, of one document
 
     def choose(self, size: int) -> int:
-        """Fill level (0: a new window) at which an item raises the sum of squares least.
+        """Level whose window takes an item so that the sum of squares rises least; -1: a new one.
 
-        Moving a window from level h to h+size changes the sum by 2(N[h+size] - N[h] + 1), a
-        new window by 2 N[size] + 1; a full window counts nowhere. Ties take the fullest.
+        Moving a window from level h to t changes the sum by 2(N[t] - N[h] + 1), a new window
+        by 2 N[t] + 1, closing one by 1 - 2 N[h]; a rest that a cut leaves is counted as a new
+        window and its price. Ties take the fullest window.
         """
-        level, top = self.level, self.window - size
-        if top < 1:
-            return 0
-        cost = 2 * (level[1 + size : self.window + 1] - level[1 : top + 1] + 1)
-        cost[-1] = 1 - 2 * level[top]
-        cost[level[1 : top + 1] == 0] = np.iinfo(np.int64).max
+        live = np.flatnonzero(self.level[:-1])
+        new = 2 * self.level[size // self.quantum] + 1
+        if not len(live):
+            return -1
+        after, count = self.fill[live] + size, self.level[live]
+        to = np.minimum(after, self.window) // self.quantum
+        over = after - self.window
+        moved = np.where(to == live, 0, 2 * (self.level[to] - count + 1))
+        rest = np.where(over > 0, 2 * self.level[np.maximum(over, 0) // self.quantum] + 1, 0)
+        cost = np.where(over < 0, moved, 1 - 2 * count + rest + np.where(over > self.quantum, self.cut_price, 0))
         at = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        return at + 1 if cost[at] <= 2 * level[size] + 1 else 0
+        return int(live[at]) if cost[at] <= new else -1
+
+    @property
+    def n_open(self) -> int:
+        return int(self.level.sum())
 
     def _emit(self, pieces: list) -> Iterator[tuple]:
         at = 0
@@ -52,52 +70,57 @@ class SumOfSquaresPacker:
             at += len(ids)
         self.next += 1
 
+    def _take(self, level: int) -> tuple[int, list]:
+        own = self.open[level]
+        taken = own.pop()
+        self.level[level] -= 1
+        if own:
+            self.fill[level] = own[-1][0]
+        return taken
+
+    def _put(self, fill: int, pieces: list) -> None:
+        level = fill // self.quantum
+        self.open[level].append((fill, pieces))
+        self.level[level] += 1
+        self.fill[level] = fill
+
     def add(self, doc_id: int, ids: np.ndarray) -> Iterator[tuple]:
         total, at = len(ids), 0
         while total - at >= self.window:
             yield from self._emit([(doc_id, at, ids[at : at + self.window], total)])
+            self.whole += 1
             at += self.window
-        size = total - at
-        if not size:
-            return
-        fill = self.choose(size)
-        if fill:
-            pieces = self.open[fill].pop()
-            self.level[fill] -= 1
-        else:
-            pieces = []
-            self.n_open += 1
-        pieces.append((doc_id, at, ids[at:], total))
-        if fill + size == self.window:
-            self.n_open -= 1
-            yield from self._emit(pieces)
-        else:
-            self.open[fill + size].append(pieces)
-            self.level[fill + size] += 1
-        if self.n_open > self.max_open:
-            yield from self.flush(last=False)
-
-    def flush(self, last: bool = True) -> Iterator[tuple]:
-        """Join the open windows by cutting; the incomplete rest is emitted only if ``last``."""
+        while at < total:
+            level = self.choose(total - at)
+            fill, pieces = self._take(level) if level >= 0 else (0, [])
+            part = ids[at : at + self.window - fill]
+            pieces.append((doc_id, at, part, total))
+            at, fill = at + len(part), fill + len(part)
+            if fill == self.window:
+                self.closed += 1
+                yield from self._emit(pieces)
+            else:
+                self._put(fill, pieces)
+
+    def flush(self) -> Iterator[tuple]:
+        """Join the windows still open by cutting; only the last of them may be incomplete."""
         pieces, size = [], 0
-        for fill in range(self.window - 1, 0, -1):
-            for parts in self.open[fill]:
+        for own in reversed(self.open):
+            for _, parts in own:
                 for doc_id, start, ids, total in parts:
                     while len(ids):
                         cut = ids[: self.window - size]
                         pieces.append((doc_id, start, cut, total))
                         size, start, ids = size + len(cut), start + len(cut), ids[len(cut) :]
                         if size == self.window:
+                            self.joined += 1
                             yield from self._emit(pieces)
                             pieces, size = [], 0
-            self.open[fill] = []
+            own.clear()
         self.level[:] = 0
-        self.n_open = 0
-        if pieces and last:
+        if pieces:
+            self.joined += 1
             yield from self._emit(pieces)
-        elif pieces:
-            self.open[size].append(pieces)
-            self.level[size] = self.n_open = 1
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, window: int = 2_048, end_id: int = 1) -> DataFrame:

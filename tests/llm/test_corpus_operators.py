@@ -428,26 +428,42 @@ def test_packing(docs, empty):
 
 
 def test_sum_of_squares_choice():
-    p = packing.SumOfSquaresPacker(10, max_open=50)
+    p = packing.SumOfSquaresPacker(10, levels=10, cut_price=3)  # a level is one token
     rng = np.random.default_rng(1)
     for i in range(400):
         size = int(rng.integers(1, 10))
-        counts = p.level.copy()
-        costs = {h: 2 * ((counts[h + size] if h + size < 10 else 0) - counts[h]) + (2 if h + size < 10 else 1 - 1) for h in range(1, 10 - size + 1) if counts[h]}
+        counts = p.level[:10].copy()
         chosen = p.choose(size)
 
         def total(h):
-            c = counts.copy()
-            if h:
+            """Sum of squares after placing the item in a window of level h (-1: a new one), and prices."""
+            c = np.append(counts, 0)
+            end, price = (h if h > 0 else 0) + size, 0
+            if h > 0:
                 c[h] -= 1
-            if h + size < 10:
-                c[h + size] += 1
-            return int((c[1:10] ** 2).sum())
-
-        options = [0, *costs]
-        assert total(chosen) == min(total(h) for h in options)
+            if end > 10:
+                price, end = (0 if end - 10 <= 1 else 3), end - 10
+                price += 2 * counts[end] + 1  # what is left counts as a new window
+            elif end < 10:
+                c[end] += 1
+            return int((c[:10].astype(int) ** 2).sum()) + price
+
+        assert total(chosen) == min(total(h) for h in (-1, *np.flatnonzero(counts)))
         list(p.add(i, np.zeros(size, "<u4")))
-        assert (p.level[1:10] == [len(x) for x in p.open[1:10]]).all()
+        assert (p.level[:10] == [len(x) for x in p.open]).all()
+        assert all(f // p.quantum == h for h, own in enumerate(p.open) for f, _ in own)
+
+
+def test_the_rule_closes_most_windows_and_bounds_the_open_ones():
+    rng = np.random.default_rng(2)
+    for sizes in (rng.lognormal(6, 1, 3_000).astype(int) + 1, np.full(6_000, 1_100), np.full(6_000, 1_025)):
+        p, rows, most = packing.SumOfSquaresPacker(), [], 0
+        for i, n in enumerate(sizes):
+            rows += p.add(i, np.full(n, i, "<u4"))
+            most = max(most, p.n_open)
+        rows += p.flush()
+        assert p.joined < 0.05 * p.closed and most < 200
+        assert sum(r[2] for r in rows) == sizes.sum() and p.next - 1 <= sizes.sum() // 2_048 <= p.next
 
 
 def test_word_encoder_equals_library():
