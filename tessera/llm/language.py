@@ -11,13 +11,14 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTER = re.compile(r"[^\W\d_]")
 BUCKETS = 1 << 16
@@ -235,7 +236,7 @@ def expected_pairs(emission: np.ndarray, gamma: np.ndarray, transition: np.ndarr
 class Labeller:
     """Applies a model to texts; emissions of seen words are kept, within a bound."""
 
-    KEPT, PART = 400_000, 200_000
+    KEPT, PART = 150_000, 100_000
 
     def __init__(self, model: Crf):
         self.model = model
@@ -333,16 +334,28 @@ def predict_language(docs: DataFrame, model: Crf) -> DataFrame:
     empty table gives none; a column named lang_pred or score is replaced.
     """
     keep = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
+    return _labelled(docs.select(F.struct(*[f"`{c}`" for c in keep]).alias("row"), "text"), model, lambda batch: batch.column(1)).select("row.*", "lang_pred", "score")
+
+
+def explained_rows(docs: DataFrame, model: Crf, least_share: float) -> DataFrame:
+    """Rows of ``docs``, all columns, whose language has ``least_share`` of the word marginals.
+
+    Null texts and texts without a letter are not among them; rows that repeat stay.
+    """
+    found = _labelled(docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")), model, lambda batch: batch.column(0).field("text"))
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share)).select("row.*")
+
+
+def _labelled(rows: DataFrame, model: Crf, text_of: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """(row, lang_pred, score) of rows (row struct, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         parts = (batch.slice(a, ROWS) for batch in batches for a in range(0, batch.num_rows, ROWS))
         for part in parts:
-            found = list(labeller.documents(part.column(len(keep)).to_pylist()))
-            cols = [part.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*keep, "lang_pred", "score"]
-            )
+            found = list(labeller.documents(text_of(part).to_pylist()))
+            lang, score = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([part.column(0), lang, score], names=["row", "lang_pred", "score"])
 
-    return docs.select(*[f"`{c}`" for c in keep], "text").mapInArrow(run, f"{kept + ', ' if kept else ''}lang_pred string, score double")
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)

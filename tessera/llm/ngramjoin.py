@@ -119,7 +119,7 @@ def trie_links(keys: list[np.ndarray], sizes: np.ndarray, num: int, den: int, in
 
 
 def shared_sets(docs: DataFrame, k: int, num: int, den: int, buckets: int, block_tokens: int = 1 << 20) -> DataFrame:
-    """(rid, doc_id, n, copy_key, near1, near2, keys) per row of ``docs``.
+    """(rid, doc_id, text_key, n, copy_key, near1, near2, keys) per row of ``docs``.
 
     Keys are there only where the prefix reaches shared shingles, as packed uint64
     ``frequency << 48 | fingerprint`` in global order; near1 and near2 are then the least
@@ -132,6 +132,7 @@ def shared_sets(docs: DataFrame, k: int, num: int, den: int, buckets: int, block
         part, seq = TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         ids: list[int] = []
+        text_keys: list[int] = []
         ns: list[int] = []
         size = 0
 
@@ -155,21 +156,22 @@ def shared_sets(docs: DataFrame, k: int, num: int, den: int, buckets: int, block
                 "bucket": [r[0] for r in rows] + [block % buckets],
                 "block": [block] * (len(rows) + 1),
                 "base": base + [-1],
-                "steps": packed + [np.array(ids, "<i8").tobytes()],
+                "steps": packed + [np.array(ids + text_keys, "<i8").tobytes()],
                 "places": [r[2].tobytes() for r in rows] + [np.array(ns, "<i8").tobytes()],
             }
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("base", pa.int64()), ("steps", pa.binary()), ("places", pa.binary())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, text_key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 full = shingles(text.as_py(), k)
                 held.append(np.unique(full >> np.uint64(64 - BITS)))
                 ids.append(doc_id)
+                text_keys.append(text_key)
                 ns.append(len(full))
                 size += len(full)
                 if size >= block_tokens or len(held) == 60_000:
                     yield from flush()
-                    held, ids, ns, size, seq = [], [], [], 0, seq + 1
+                    held, ids, text_keys, ns, size, seq = [], [], [], [], 0, seq + 1
         if held:
             yield from flush()
 
@@ -207,7 +209,7 @@ def shared_sets(docs: DataFrame, k: int, num: int, den: int, buckets: int, block
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs_of(batches, "block"):
             meta = group[group["meta"]].iloc[0]
-            ids, ns = np.frombuffer(meta["keys"], "<i8"), np.frombuffer(meta["places"], "<i8")
+            (ids, text_keys), ns = np.frombuffer(meta["keys"], "<i8").reshape(2, -1), np.frombuffer(meta["places"], "<i8")
             rows = group[~group["meta"]]
             keys = np.frombuffer(b"".join(rows["keys"]), "<u8")
             place = np.frombuffer(b"".join(rows["places"]), "<u2").astype(np.int64)
@@ -224,13 +226,13 @@ def shared_sets(docs: DataFrame, k: int, num: int, den: int, buckets: int, block
                 if live:
                     near[:, d] = [h[cut[d] : cut[d + 1]].min() for h in hashed]
             block = int(group["block"].iloc[0])
-            yield pd.DataFrame({"rid": (block << 16) + np.arange(len(ids)), "doc_id": ids, "n": ns, "copy_key": copies, "near1": near[0], "near2": near[1], "keys": packed})
+            yield pd.DataFrame({"rid": (block << 16) + np.arange(len(ids)), "doc_id": ids, "text_key": text_keys, "n": ns, "copy_key": copies, "near1": near[0], "near2": near[1], "keys": packed})
 
-    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(
+    sent = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).where("doc_id IS NOT NULL").mapInArrow(
         spread, "bucket long, block long, base long, steps binary, places binary"
     )
     counted = grouped(sent, "bucket").mapInPandas(count, "block long, keys binary, places binary, meta boolean")
-    return grouped(counted, "block").mapInPandas(gather, "rid long, doc_id long, n long, copy_key string, near1 long, near2 long, keys binary")
+    return grouped(counted, "block").mapInPandas(gather, "rid long, doc_id long, text_key long, n long, copy_key string, near1 long, near2 long, keys binary")
 
 
 # --------------------------------------------------------------------------- the join
@@ -277,6 +279,21 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     ids; other columns are ignored; an empty table gives no rows. Sets are held as 48-bit
     fingerprints: a false match inside a pair of 500-shingle sets has a chance below 1e-9.
     """
+    ids = row_labels(docs, k, num, den, block_rows, buckets)
+    least = KeyTable.of(ids.where("label IS NOT NULL"), ["label"], "least-ids", F.min("doc_id").alias("least"))
+    return (
+        least.join(ids)
+        .select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+        .unionAll(ids.where("label IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    )
+
+
+def row_labels(docs: DataFrame, k: int, num: int, den: int, block_rows: int = 64, buckets: int | None = None) -> DataFrame:
+    """(rid, doc_id, text_key, n_shingles, label) of every row with a doc_id.
+
+    Rows of one component share a label; it is null for a row that is linked with no other.
+    text_key is xxhash64 of the text.
+    """
     spark = docs.sparkSession
     if buckets is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -305,13 +322,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
         known = final.where("rid <> label").select(F.col("rid").alias("a"), F.col("label").alias("b"))
         final = materialize(components(known.unionAll(across)).select(F.col("node").alias("rid"), "label"), "classes")
 
-    ids = sets.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(final, "rid", "left")
-    least = KeyTable.of(ids.where("label IS NOT NULL"), ["label"], "least-ids", F.min("doc_id").alias("least"))
-    return (
-        least.join(ids)
-        .select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-        .unionAll(ids.where("label IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    return sets.select("rid", "doc_id", "text_key", F.col("n").alias("n_shingles")).join(final, "rid", "left")
 
 
 def _open_links(postings: DataFrame, labels: DataFrame, live: DataFrame, num: int, den: int, block_rows: int) -> DataFrame | None:
@@ -340,17 +351,21 @@ def _open_links(postings: DataFrame, labels: DataFrame, live: DataFrame, num: in
     return materialize(_join_blocks(live.select("rid", "n", "keys").join(seats, "rid"), num, den), "open-links")
 
 
-def keep_first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row per component: the row of the smallest doc_id (ties: by text).
+def keep_first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
+    """``docs`` with one row per component: the row of the smallest doc_id (ties: by text hash).
 
     Components are of rows: texts that are not linked are both kept, also under one doc_id;
     rows equal in doc_id and text are one. All columns are kept; rows with a null doc_id stay.
+    The texts are shuffled once at most, for the join that takes rows out.
     """
-    row_key = F.xxhash64("doc_id", "text")
-    known = docs.where("doc_id IS NOT NULL")
-    found = jaccard_components(known.select(row_key.alias("doc_id"), "text"), **options)
-    found = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("__component"))
-    placed = known.join(found, row_key == F.col("__key"))
-    first = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("doc_id", F.coalesce("text", F.lit("")))).alias("__row")
-    once = placed.groupBy("__component").agg(first).select("__row.*")
-    return once.unionAll(docs.where("doc_id IS NULL"))
+    ids = row_labels(docs.select("doc_id", "text"), k, num, den, **options).select("doc_id", "text_key", "label")
+    ids = materialize(ids, "row-labels")
+    linked = ids.where("label IS NOT NULL")
+    first = KeyTable.of(linked, ["label"], "first-rows", F.min(F.struct("doc_id", "text_key")).alias("first"))
+    per_row = first.join(linked).select("doc_id", "text_key", (F.struct("doc_id", "text_key") != F.col("first")).alias("later"))
+    per_row = per_row.unionAll(ids.where("label IS NULL").select("doc_id", "text_key", F.lit(False).alias("later")))
+    odd = per_row.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("later").alias("__later"), F.count(F.lit(1)).alias("__rows"))
+    odd = materialize(odd.where("__later OR __rows > 1"), "odd-rows")
+    same = (docs["doc_id"] == odd["__id"]) & (F.xxhash64(docs["text"]) == odd["__key"])
+    repeated = docs.join(odd.where("NOT __later"), same).dropDuplicates(["__id", "__key"]).select(*[docs[c] for c in docs.columns])
+    return docs.join(odd, same, "left_anti").unionAll(repeated)
