@@ -31,9 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     go; rows that repeat stay; an empty table gives none; extra columns of any name stay.
     """
     model = language.train_language(docs, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    explained = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)
-    return language.predict_language(whole, model).where(explained).select("row.*")
+    return language.explained_rows(docs, model, LEAST_LANGUAGE_SHARE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
