@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KeyTable, grouped, materialize, mix, rolling, runs_of, utf8, word_hashes
@@ -366,6 +366,8 @@ def keep_first_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     per_row = per_row.unionAll(ids.where("label IS NULL").select("doc_id", "text_key", F.lit(False).alias("later")))
     odd = per_row.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("later").alias("__later"), F.count(F.lit(1)).alias("__rows"))
     odd = materialize(odd.where("__later OR __rows > 1"), "odd-rows")
-    same = (docs["doc_id"] == odd["__id"]) & (F.xxhash64(docs["text"]) == odd["__key"])
-    repeated = docs.join(odd.where("NOT __later"), same).dropDuplicates(["__id", "__key"]).select(*[docs[c] for c in docs.columns])
-    return docs.join(odd, same, "left_anti").unionAll(repeated)
+    # the plan is the same at every size: texts are dealt once, for the join and the window alike
+    dealt = docs.withColumns({"__id": F.col("doc_id"), "__key": F.xxhash64("text")}).join(odd.hint("merge"), ["__id", "__key"], "left")
+    nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__id"))
+    kept = dealt.withColumn("__nth", nth).where("__later IS NULL OR (NOT __later AND __nth = 1)")
+    return kept.select(*[f"`{c}`" for c in docs.columns])

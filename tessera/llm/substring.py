@@ -141,7 +141,7 @@ def _cut(docs: DataFrame, contents: DataFrame, cutter, schema: str) -> DataFrame
             if rows:
                 yield pd.DataFrame(rows, columns=names)
 
-    once = docs.join(marks, ["doc_id", "text_key"]).select("doc_id", "text", "marks")
+    once = docs.join(marks.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text", "marks")
     return once.mapInPandas(cut, schema)
 
 
@@ -162,7 +162,7 @@ def _trees(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     return grouped(dealt, "bucket").mapInPandas(build, _LEARNT)
 
 
-def repeated_starts(docs: DataFrame, window: int = 50, max_runs: int = 4_096, group_runs: int = 6_000) -> tuple[DataFrame, DataFrame]:
+def repeated_starts(docs: DataFrame, window: int = 50, max_runs: int = 512, group_runs: int = 6_000) -> tuple[DataFrame, DataFrame]:
     """(summary, affected) of ``docs`` (doc_id, text).
 
     summary: doc_id, text_key, n_words, word_sha, copy (an earlier document has all its
@@ -216,6 +216,10 @@ def repeated_starts(docs: DataFrame, window: int = 50, max_runs: int = 4_096, gr
     prefixes = KeyTable(per_prefix.where("least < greatest").select("prefix", "runs"), ["prefix"], "runs", "prefixes")
     contents = materialize(prefixes.join(contents).select("prefix", "run", "source.*", "most", "members", "runs"), "contents")
 
+    # the texts are dealt once for the documents that may have repeats; the plan is the same at every size
+    owners = places.select("doc_id", "text_key").distinct()
+    docs = materialize(docs.join(owners.hint("merge"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]), "affected", codec="zstd")
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4 * parts, -(-prefixes.total // group_runs))
 
@@ -233,7 +237,7 @@ def repeated_starts(docs: DataFrame, window: int = 50, max_runs: int = 4_096, gr
     told = packed.join(contents.select("prefix", "run", F.col("doc_id").alias("least"), "members"), ["prefix", "run"])
     told = KeyTable(told, ["prefix", "run"], "members", "learnt")
     marks = told.join(places).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "least", "learnt")).alias("marks"))
-    return summary, docs.join(marks, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "marks")
+    return summary, docs.join(marks.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "marks")
 
 
 def _lengthened(docs: DataFrame, contents: DataFrame, window: int, max_runs: int, buckets: int) -> DataFrame:
@@ -313,7 +317,7 @@ def removed_words(docs: DataFrame, window: int = 50, **options) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n_removed", "sha", "kept"])
 
-    changed = marked.mapInPandas(strip, "doc_id long, text_key long, n_removed long, sha string, kept string").dropDuplicates(["doc_id", "text_key"])
+    changed = marked.mapInPandas(strip, "doc_id long, text_key long, n_removed long, sha string, kept string")
     gone = F.col("copy")
     return summary.join(changed, ["doc_id", "text_key"], "left").select(
         "doc_id",
@@ -331,5 +335,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, **options) -> DataFrame:
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("kept").alias("__kept")
     ).distinct()
     same = (docs["doc_id"] == found["__id"]) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == found["__key"])
-    joined = docs.join(found, same, "left")
+    joined = docs.join(found.hint("merge"), same, "left")
     return joined.withColumn("text", F.when(F.col("__id").isNotNull(), F.col("__kept")).otherwise(F.col("text"))).select(docs.columns)
