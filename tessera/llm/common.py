@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,14 @@ def tokenizer_path(name: str = DEFAULT_WORD_BPE) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder the session names.
 
-    The folder of ``spark.checkpoint.dir`` is used; only where that is unset (tests, a
-    single machine) a temporary one is made and recorded in the session.
+    The folder of ``spark.checkpoint.dir`` is used. Where that is unset, a session on a single
+    machine (local master, tests) gets a temporary one; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

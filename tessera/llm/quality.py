@@ -54,6 +54,11 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
+def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Centred and scaled features, held within eight deviations."""
+    return np.clip((x - mean) / scale, -8, 8)
+
+
 @dataclass
 class BradleyTerry:
     """Standardised linear score with a threshold."""
@@ -64,7 +69,7 @@ class BradleyTerry:
     threshold: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weight
+        return standardised(x, self.mean, self.scale) @ self.weight
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, one half at the threshold."""
@@ -81,7 +86,7 @@ def fit(x: np.ndarray, good: np.ndarray, l2: float = 1.0, pairs_per_row: int = 8
     if not len(x):
         return BradleyTerry(np.zeros(width), np.ones(width), np.zeros(width))
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = standardised(x, mean, scale)
     win, lose = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
     model = BradleyTerry(mean, scale, np.zeros(width))
     if not len(win) or not len(lose):
@@ -122,10 +127,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, is_training: Column, max_l
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py()).tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "good": batch.column(2), "x": pa.array(rows, pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "good": batch.column(2), "text_key": batch.column(3), "x": pa.array(rows, pa.list_(pa.float64()))})
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("good").cast("int").alias("good"))
-    rows = joined.mapInArrow(measure, "doc_id long, good int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("good").cast("int").alias("good"), F.xxhash64("text").alias("text_key"))
+    measured = joined.mapInArrow(measure, "doc_id long, good int, text_key long, x array<double>").dropDuplicates(["doc_id", "text_key"])
+    # a repeated doc_id can give more rows than were picked
+    rows = measured.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(max_labelled).toPandas().sort_values(["doc_id", "text_key"], kind="stable")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(FEATURES)))
     model = fit(x, rows["good"].to_numpy())
     if rows["good"].nunique() == 2:

@@ -162,7 +162,7 @@ def _trees(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     return grouped(dealt, "bucket").mapInPandas(build, _LEARNT)
 
 
-def repeated_starts(docs: DataFrame, window: int = 50, max_runs: int = 512, group_runs: int = 6_000) -> tuple[DataFrame, DataFrame]:
+def repeated_starts(docs: DataFrame, window: int = 50, max_runs: int = 256, group_runs: int = 6_000) -> tuple[DataFrame, DataFrame]:
     """(summary, affected) of ``docs`` (doc_id, text).
 
     summary: doc_id, text_key, n_words, word_sha, copy (an earlier document has all its

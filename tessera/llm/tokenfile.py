@@ -8,7 +8,8 @@ A data set is a folder: ``dictionary.bin`` (trained once on serialised id arrays
 Each frame is one document's ids (little-endian uint32), compressed on its own against the
 dictionary, so a short document is read with one small ranged read. The index holds
 ``doc_id`` (int64), ``offset`` (uint64, n+1 values) and ``n_tokens`` (uint32); the footer
-holds the number of documents, the index position and the magic again.
+holds the number of documents, the index position, the number of documents whose doc_id is
+null (they come first) and the magic again.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import filesystem, shared_dir, tokenizer_path
 
-MAGIC = b"TSRTOK01"
-FOOTER = struct.Struct("<QQ8s")
+MAGIC = b"TSRTOK02"
+FOOTER = struct.Struct("<QQQ8s")
 
 
 def train_dictionary(samples: list[bytes], size: int = 65_536) -> bytes:
@@ -58,23 +59,25 @@ class ShardWriter:
         self.part = f"{root}/.{shard:06d}-{attempt}"
         self.out = self.fs.open_output_stream(self.part)
         self.codec = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_content_size=True)
-        self.at = self.out.write(MAGIC + hashlib.sha256(dictionary).digest())
+        self.out.write(MAGIC + hashlib.sha256(dictionary).digest())
+        self.nulls = 0
         self.ids: list[int] = []
         self.offsets: list[int] = [40]
         self.counts: list[int] = []
         self.at = 40
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         frame = self.codec.compress(ids.astype("<u4", copy=False).tobytes())
         self.out.write(frame)
         self.at += len(frame)
-        self.ids.append(doc_id)
+        self.ids.append(-(2**63) if doc_id is None else doc_id)
+        self.nulls += doc_id is None
         self.offsets.append(self.at)
         self.counts.append(len(ids))
 
     def close(self) -> int:
         self.out.write(np.array(self.ids, "<i8").tobytes() + np.array(self.offsets, "<u8").tobytes() + np.array(self.counts, "<u4").tobytes())
-        self.out.write(FOOTER.pack(len(self.ids), self.at, MAGIC))
+        self.out.write(FOOTER.pack(len(self.ids), self.at, self.nulls, MAGIC))
         self.out.close()
         self.fs.move(self.part, self.path)
         return self.at
@@ -90,7 +93,7 @@ class ShardReader:
         self.file = fs.open_input_file(where)
         size = self.file.size()
         head = self.file.read_at(40, 0)
-        n, at, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
+        n, at, self.nulls, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
         if head[:8] != MAGIC or magic != MAGIC:
             raise ValueError(f"not a token shard: {path}")
         if head[8:] != hashlib.sha256(dictionary).digest():
@@ -112,19 +115,19 @@ class ShardReader:
 
     def find(self, doc_id: int) -> np.ndarray | None:
         """Ids of a document by its id (ids ascend in a shard), or None."""
-        i = int(np.searchsorted(self.doc_ids, doc_id))
+        i = self.nulls + int(np.searchsorted(self.doc_ids[self.nulls :], doc_id))
         return self.ids(i) if i < len(self) and self.doc_ids[i] == doc_id else None
 
 
 def write_tokens(
-    docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, sample_docs: int = 1_000, dictionary_bytes: int = 65_536
+    docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2, sample_docs: int = 1_000, sample_bytes: int = 8 << 20, dictionary_bytes: int = 65_536
 ) -> str:
     """Encode ``docs`` (doc_id, text) into shards in ascending doc_id order; returns the folder.
 
     Null texts count as empty (one end id). Rows that repeat a doc_id are all written, ordered
-    by text. Rows with a null doc_id come first, under the smallest id. Other columns are
-    ignored. The dictionary is trained on the ``sample_docs`` documents that come first by a
-    hash of their id; it affects sizes only. An empty table gives a data set without shards.
+    by text. Rows with a null doc_id come first and keep it. Other columns are ignored. The
+    dictionary is trained on at most ``sample_docs`` documents and ``sample_bytes`` of text, first
+    by a hash of their id; it affects sizes only. An empty table gives a data set without shards.
     """
     from .wordbpe import encoder
 
@@ -133,10 +136,15 @@ def write_tokens(
     folder = folder or shared_dir(spark, "tokens")
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-
-    picked = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    sample = docs.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text").toPandas()["text"]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.octet_length("text").alias("bytes"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_key")]
+    upto = F.sum("bytes").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    first = keyed.where(F.col("bytes") <= sample_bytes // 16).orderBy(*order).limit(sample_docs).withColumn("upto", upto)
+    picked = first.where(F.col("upto") <= sample_bytes).select("doc_id", "text_key").distinct()
+    chosen = docs.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    sample = chosen.orderBy("doc_id", "text").select("text").toPandas()["text"]
     dictionary = train_dictionary([encoder(path).encode(t).tobytes() for t in sample], dictionary_bytes)
     with fs.open_output_stream(f"{root}/dictionary.bin") as f:
         f.write(dictionary)
@@ -197,7 +205,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
                     rows = range(a, min(a + 2_000, len(shard)))
                     ids = [shard.ids(i) for i in rows]
                     out = {
-                        "doc_id": shard.doc_ids[a : a + len(rows)],
+                        "doc_id": pa.array(shard.doc_ids[a : a + len(rows)], mask=np.asarray(rows) < shard.nulls),
                         "start": starts[a : a + len(rows)],
                         "n_tokens": np.array([len(x) for x in ids], np.int64),
                         "ids_crc32": np.array([zlib.crc32(x.tobytes()) for x in ids], np.int64),

@@ -37,6 +37,7 @@ class BlockIndex:
         self.high = np.maximum.reduceat(self.rows, cuts, 0)
         self.low = np.minimum.reduceat(self.rows, cuts, 0)
         self.first = np.minimum.reduceat(self.ids, cuts)
+        self.scored = 0  # blocks whose rows were scored, over all searches
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, seeds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, scores, ids) of each query's k best rows here, or fewer where the seed rules them out."""
@@ -49,6 +50,7 @@ class BlockIndex:
                     break
                 if bound[b] == floor and self.first[b] > last:
                     continue
+                self.scored += 1
                 a, z = self.cuts[b], self.cuts[b + 1]
                 ids, scores = self.ids[a:z], self.rows[a:z] @ queries[q]
                 keep = (scores >= floor) & (ids != query_ids[q])
@@ -71,11 +73,13 @@ def _unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8"), rows.astype(np.float64) if big * big * dim < 1 << 50 else rows
 
 
-def _packed(rows: DataFrame, key: str) -> DataFrame:
-    """One row per (key, dim): its distinct ids and their rows in bytes."""
+def _packed(rows: DataFrame, key: str, once: bool = False) -> DataFrame:
+    """One row per (key, dim): its ids and their rows in bytes; with ``once`` a repeated id's least row."""
 
     def pack(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(o=[tuple(x) for x in pdf["q"]]).sort_values(["vec_id", "o"]).drop_duplicates("vec_id")
+        pdf = pdf.assign(o=[tuple(x) for x in pdf["q"]]).sort_values(["vec_id", "o"])
+        if once:
+            pdf = pdf.drop_duplicates("vec_id")
         return pd.DataFrame({key: [k[0]], "dim": [k[1]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "data": [np.stack(pdf["q"].to_numpy()).astype("<i8").tobytes()]})
 
     return rows.groupBy(key, "dim").applyInPandas(pack, f"{key} long, dim int, ids binary, data binary")
@@ -87,8 +91,8 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each query row.
 
     ``vectors`` has vec_id and q (array<bigint>, null: takes no part). Ties go to the smaller
-    vec_id; a query's own id is no candidate. Rows that repeat a vec_id count once, with the
-    smallest vector. Vectors meet only vectors of their own length; a null vec_id takes no
+    vec_id; a query's own id is no candidate. Rows that repeat a vec_id are candidates each, and
+    ask once, with the smallest vector. Vectors meet only vectors of their own length; a null vec_id takes no
     part; an empty table gives no rows; other columns are ignored. Both the shards and the
     query chunks are of bounded size and meet by an equi-join on the shard number.
     """
@@ -100,8 +104,8 @@ def top_k(
     pivots = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_pivots).select("vec_id", "q", "dim").toPandas().drop_duplicates("vec_id")
     by_dim = {d: (g["vec_id"].to_numpy(np.int64), np.stack(g["q"].to_numpy()).astype(np.float64)) for d, g in pivots.groupby("dim")}
 
-    shards = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards))), "shard")
-    chunks = _packed(rows.where("is_query").withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_chunks))), "chunk")
+    shards = _packed(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.lit(n_shards))), "shard")
+    chunks = _packed(rows.where("is_query").withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_chunks))), "chunk", once=True)
     asked_of = chunks.select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data")
     )

@@ -565,18 +565,43 @@ def test_top_k_equals_brute_force(spark, shard, block):
     by = {}
     for r in got.orderBy("query_id", "rank").collect():
         by.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    q = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    q = np.floor(1024 * np.concatenate([x, x[:3]]).astype(np.float64)).astype(np.int64)
+    ids = np.append(np.arange(120), [0, 1, 2])  # a repeated row is a candidate of its own
     assert set(by) == set(range(0, 120, 10))
     for i, found in by.items():
         s = q @ q[i]
-        want = [(int(s[j]), j) for j in np.lexsort((np.arange(120), -s)) if j != i][:7]
+        want = [(int(s[j]), int(ids[j])) for j in np.lexsort((ids, -s)) if ids[j] != i][:7]
         assert found == want
     assert topk.top_k(df.where("false").select("vec_id", topk.quantized("embedding").alias("q")), F.lit(True)).count() == 0
 
 
+def test_bounds_prune_blocks_of_clustered_vectors():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(16, 24)) * 900
+    rows = np.floor(np.repeat(centres, 128, 0) + rng.normal(size=(2_048, 24)) * 60)
+    index = topk.BlockIndex(np.arange(2_048), rows, np.floor(centres), 64)
+    queries = rows[::100]
+    for i, (q, scores, ids) in enumerate(index.search(np.arange(0, 2_048, 100), queries, 5, np.full(len(queries), -np.inf))):
+        s = rows @ queries[i]
+        assert ids[np.lexsort((ids, -scores))].tolist() == [j for j in np.lexsort((np.arange(2_048), -s)).tolist() if j != q][:5]
+    assert index.scored < 0.5 * len(queries) * (len(index.cuts) - 1)
+
+
 # ------------------------------------------------------------------ 10 token files
 
 
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Conf:
+        def get(self, key, default):
+            return {"spark.master": "spark://head:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session(), "x")
+
+
 def test_token_files_round_trip(spark, docs, empty):
     folder = tokenfile.write_tokens(docs)
     rows = sorted(tokenfile.read_tokens(spark, folder).collect(), key=lambda r: r.start)
@@ -590,13 +615,21 @@ def test_token_files_round_trip(spark, docs, empty):
     assert tokenfile.read_tokens(spark, tokenfile.write_tokens(empty)).count() == 0
 
 
+def test_null_doc_ids_stay_null_in_token_files(spark):
+    rows = [(None, "a b"), (-(2**63), "c"), (None, None), (4, "d e f")]
+    folder = tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = tokenfile.read_tokens(spark, folder, with_ids=False).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**63), 4] and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+
+
 def test_shard_access_and_wrong_dictionary(tmp_path):
     raw = tokenfile.train_dictionary([np.arange(40, dtype="<u4").tobytes()] * 30, 1024)
     w = tokenfile.ShardWriter(str(tmp_path), 0, raw, "a")
+    w.add(None, np.arange(2, dtype="<u4"))
     for i in (3, 5, 9):
         w.add(i, np.arange(i, dtype="<u4"))
     w.close()
     r = tokenfile.ShardReader(f"{tmp_path}/shard-000000.bin", raw)
-    assert r.find(5).tolist() == [0, 1, 2, 3, 4] and r.find(4) is None and len(r) == 3
+    assert r.find(5).tolist() == [0, 1, 2, 3, 4] and r.find(4) is None and len(r) == 4 and r.ids(0).tolist() == [0, 1]
     with pytest.raises(ValueError):
         tokenfile.ShardReader(f"{tmp_path}/shard-000000.bin", raw + b"x")

@@ -39,3 +39,39 @@ def test_stages_take_effect(spark):
 
 def test_run_gives_rows(spark):
     assert C.run(spark, SF).count() > 0
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, label int, rank int"
+
+
+def run_stages(spark, docs):
+    for name, stage in C.STAGES:
+        got = materialize(stage(spark, docs, SF), name)
+        if name != "packing":
+            assert got.columns == docs.columns
+        docs = got
+        yield name, got
+
+
+def test_an_empty_table_gives_none(spark):
+    assert [got.count() for _, got in run_stages(spark, spark.createDataFrame([], CLASH))] == [0] * 5
+
+
+def test_repeats_clashing_columns_and_long_texts(spark):
+    words = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(60).collect()
+    long = " ".join(r.text for r in words) + " "
+    rows = [(r.doc_id, r.text, r.lang, r.source, 1, 0.5, "x", 1, 2) for r in words]
+    rows += rows[:3] + [(5_000, None, None, None, None, None, None, None, None), (None, words[0].text, "en", "s", 1, 0.5, "x", 1, 2)]
+    rows += [(5_001, long * 10, "en", "s", 1, 0.5, "x", 1, 2)]
+    docs = spark.createDataFrame(rows, CLASH).repartition(3)
+    found = dict(run_stages(spark, docs))
+    labelled = found["language_id"]
+    assert labelled.where("doc_id = 5000").count() == 0 and labelled.where("doc_id IS NULL").count() == 1
+    once = [r.doc_id for r in found["ngram_jaccard"].collect()]
+    assert len(once) == len(set(once)) and None in once and 5_001 in once
+    assert found["packing"].where("doc_id = 5001").count() >= 0
+
+
+def test_a_table_without_n_chars(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars")
+    assert C.cut_repeats(spark, docs, SF).columns == docs.columns == C.hide_secrets(spark, docs, SF).columns
