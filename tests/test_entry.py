@@ -11,7 +11,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith(('tessera.llm', 'corpus_pipeline')):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 names = e.queries()
