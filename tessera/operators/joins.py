@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def override(base: DataFrame, extra: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Left join where a non-empty right value replaces the left one."""
@@ -92,21 +94,27 @@ def coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def lineage(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """(node, root, depth): follow parents to a root; a cycle stops at its first repeated node.
+def lineage(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, root, depth) of every child: the end of its chain of parents and the steps to it.
 
-    Recursive SQL, so the walk is one query; nodes on a cycle, and nodes whose walk stops at
-    ``max_depth`` while a parent is still there, get a null root.
+    Pointer jumping: each round doubles the steps that a node looks ahead, so a chain of any
+    length takes its logarithm in rounds, each a join of two tables in the shared folder. Nodes
+    on a cycle, and nodes that run into one, reach no root: root and depth are null. A child
+    with several parents follows the least.
     """
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("__lineage_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, at, depth) AS (
-              SELECT c, p, 1 FROM __lineage_edges WHERE p IS NOT NULL
-              UNION ALL
-              SELECT w.node, e.p, w.depth + 1 FROM walk w JOIN __lineage_edges e ON e.c = w.at
-              WHERE e.p IS NOT NULL AND e.p <> w.node AND w.depth < {max_depth}),
-            last AS (SELECT node, max_by(at, depth) AS at, max(depth) AS depth FROM walk GROUP BY node)
-            SELECT node, CASE WHEN more.c IS NULL THEN at END AS root, depth
-            FROM last LEFT JOIN (SELECT DISTINCT c FROM __lineage_edges WHERE p IS NOT NULL) more ON more.c = last.at"""
-    )
+    pairs = edges.where(F.col(parent).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min(parent).alias("at"))
+    now = stored(pairs.withColumn("depth", F.lit(1).cast("long")), "lineage")
+    ended = None
+    left = now.count()
+    for _ in range(max(1, left).bit_length() + 1):
+        there = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        ahead = stored(now.join(there, "at", "left"), "lineage")
+        found = ahead.where("next IS NULL").select("node", F.col("at").alias("root"), "depth")
+        # what has ended serves those that still walk, so it stays in the table that is looked up
+        now = ahead.select("node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        ended = found
+        left = ahead.where("next IS NOT NULL").count()
+        if not left:
+            break
+    walked = now.select("node").join(ended, "node", "left")
+    return walked.select("node", "root", F.col("depth").cast("int").alias("depth"))

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import hash_order
+from ..session import stored
 
 
-def global_rank(df: DataFrame, hashed: str, tie: str, out: str) -> DataFrame:
-    """1-based rank in the order of a hex hash, in two levels: inside a two-digit prefix, and
-    before it (256 counts), so no task sorts the whole table."""
-    keyed = df.withColumn("__pre", F.substring(hashed, 1, 2))
+def global_rank(df: DataFrame, hashed: str, tie: str, out: str, digits: int = 3) -> DataFrame:
+    """1-based rank in the order of a hex hash, in two levels: inside a prefix of ``digits``, and
+    before it (16^digits counts), so no task sorts the whole table."""
+    keyed = df.withColumn("__pre", F.substring(hashed, 1, digits))
     counts = keyed.groupBy("__pre").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(Window.orderBy("__pre"))
     before = counts.select("__pre", (upto - F.col("__c")).alias("__before"))
@@ -21,6 +22,20 @@ def global_rank(df: DataFrame, hashed: str, tie: str, out: str) -> DataFrame:
     return keyed.join(F.broadcast(before), "__pre").withColumn(out, F.col("__before") + inner).drop("__pre", "__before")
 
 
+def dense_index(df: DataFrame, key: str, out: str, parts: int | None = None) -> DataFrame:
+    """(key, out): distinct keys in ascending order as 0, 1, ...; null comes first.
+
+    Keys are dealt by range; a task numbers its own and adds the counts of the ranges before.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(key).distinct().repartitionByRange(n, key).sortWithinPartitions(key)
+    dealt = stored(dealt.withColumn("__part", F.spark_partition_id()), "dense-index")
+    counts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
+    before = counts.select("__part", (F.sum("__c").over(Window.orderBy("__part")) - F.col("__c")).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    return dealt.join(F.broadcast(before), "__part").select(key, (F.col("__before") + inner).cast("bigint").alias(out))
+
+
 def time_bins(df: DataFrame, group: str, time: Sequence[str], score: str, k: Column | int) -> DataFrame:
     """Best row of each of k equal time bins per group; groups of at most k rows stay whole.
 
@@ -79,14 +94,20 @@ def two_level_round_robin(df: DataFrame, parent: str, sub: str, order: Sequence[
     return out.orderBy("round", parent).limit(n).drop("__turn")
 
 
-def capped_quota(df: DataFrame, label: str, group: str, key: str, quota: dict[str, int], cap: int, seed: str) -> DataFrame:
-    """Per label: hash order with at most ``cap`` rows per group first, the rest as backfill."""
+def capped_quota(df: DataFrame, label: str, group: str, key: str, quota: dict[str, int], cap: int, seed: str, default: int = 0, slices: int = 64) -> DataFrame:
+    """Per label: hash order with at most ``cap`` rows per group first, the rest as backfill.
+
+    Labels without a quota get ``default``. A label is ranked in slices first, each of which
+    passes on no more than the quota, so that a frequent label is not sorted in one task.
+    """
     w = Window.partitionBy(label, group).orderBy("__h", key)
     ranked = df.withColumn("__h", hash_order(seed, key)).withColumn("__g", F.row_number().over(w))
-    ranked = ranked.withColumn("over_cap", (F.col("__g") > cap).cast("int"))
-    pick = Window.partitionBy(label).orderBy("over_cap", "__h", key)
-    limit = F.coalesce(*[F.when(F.col(label) == k, F.lit(v)) for k, v in quota.items()], F.lit(0))
-    return ranked.withColumn("pick", F.row_number().over(pick)).where(F.col("pick") <= limit).drop("__h", "__g")
+    limit = F.coalesce(*[F.when(F.col(label) == k, F.lit(v)) for k, v in quota.items()], F.lit(default))
+    ranked = ranked.withColumn("over_cap", (F.col("__g") > cap).cast("int")).withColumn("__slice", F.pmod(F.xxhash64(key), F.lit(slices)))
+    for keys in ([label, "__slice"], [label]):
+        pick = Window.partitionBy(*keys).orderBy("over_cap", "__h", key)
+        ranked = ranked.withColumn("pick", F.row_number().over(pick)).where(F.col("pick") <= limit)
+    return ranked.drop("__h", "__g", "__slice")
 
 
 def stratified(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
@@ -110,20 +131,21 @@ def balanced_allocation(df: DataFrame, group: str, key: str, n: int, seed: str)
     return df.join(place, group).withColumn("__h", hash_order(seed, key)).withColumn("__r", F.row_number().over(rows)).where("__r <= quota").drop("__h", "__r")
 
 
-def weighted_draw(df: DataFrame, key: str, weight: str, draws: int, seed: str) -> DataFrame:
-    """(draw, key): ``draws`` samples with replacement in proportion to positive weights.
+def weighted_draw(df: DataFrame, key: str, weight: str, draws: int, seed: str, digits: int = 3) -> DataFrame:
+    """(draw, key): ``draws`` samples with replacement in proportion to whole positive weights.
 
-    Each draw's hash gives a point on the cumulative weight; running sums are taken in two
-    levels (per slice of the key space, then inside it), so no window spans the table.
+    Keys lie on a line in the order of their hash, each as long as its weight; a draw's own hash
+    is a point on it. Running sums are taken in two levels (inside a hash prefix of ``digits``,
+    and before it), so no window spans the table; sums of whole numbers are exact.
     """
-    rows = df.where(F.col(weight) > 0).select(key, F.col(weight).alias("w")).withColumn("slice", F.pmod(F.xxhash64(key), F.lit(64)))
+    rows = df.where(F.col(weight) > 0).select(key, F.col(weight).cast("bigint").alias("w"), F.sha2(F.col(key).cast("string"), 256).alias("h"))
+    rows = rows.withColumn("slice", F.substring("h", 1, digits))
     sums = rows.groupBy("slice").agg(F.sum("w").alias("s"))
     offsets = sums.withColumn("upto", F.sum("s").over(Window.orderBy("slice"))).select("slice", (F.col("upto") - F.col("s")).alias("lo"), F.col("upto").alias("hi"))
-    inner = Window.partitionBy("slice").orderBy(key)
-    cumulative = rows.join(offsets, "slice").withColumn("to", F.col("lo") + F.sum("w").over(inner)).withColumn("from", F.col("to") - F.col("w"))
-    spark = df.sparkSession
+    inner = Window.partitionBy("slice").orderBy("h", key)
+    cumulative = rows.join(F.broadcast(offsets), "slice").withColumn("to", F.col("lo") + F.sum("w").over(inner)).withColumn("from", F.col("to") - F.col("w"))
     total = sums.agg(F.sum("s")).scalar()
     unit = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    points = spark.range(draws).withColumnRenamed("id", "draw").withColumn("x", unit * total)
+    points = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("x", F.floor(unit * total.cast("double")))
     bounds = points.join(F.broadcast(offsets), (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("draw", "x", "slice")
     return cumulative.join(bounds, "slice").where("x >= `from` AND x < `to`").select("draw", key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -85,8 +86,21 @@ def subset_mismatch(child: DataFrame, parent: DataFrame, key: str, columns: Sequ
     )
 
 
+def published_digest(df: DataFrame, key: str) -> DataFrame:
+    """(n, digest): sha256 of the sorted ids as text, a newline after each; of nothing for no ids.
+
+    A digest of one text is read in order, so the sorted ids stream through the driver, one
+    partition at a time; ``id_digest`` compares large tables without that.
+    """
+    total, n = hashlib.sha256(), 0
+    for row in df.select(F.col(key).cast("string").alias("id")).where("id IS NOT NULL").orderBy("id").toLocalIterator():
+        total.update(row.id.encode() + b"\n")
+        n += 1
+    return df.sparkSession.createDataFrame([(n, total.hexdigest())], "n long, digest string")
+
+
 def id_digest(df: DataFrame, key: str) -> DataFrame:
-    """sha256 over the sorted ids, each followed by a newline, per 16-bit hash slice and over the slices.
+    """sha256 over the sorted ids, each followed by a newline, per two-digit hash slice and over the slices.
 
     Slices bound what one row collects: the digest of digests equals on both sides exactly
     when the id multisets do.

@@ -46,10 +46,10 @@ SELECT event_id, a.match AS start_match, b.match AS end_match FROM a JOIN b USIN
 
 
 def _intervals(e: DataFrame) -> DataFrame:
-    return e.where("k % 3 = 0").select("user_id", F.col("event_id").alias("step_id"), F.col("t").alias("s"), (F.col("t") + 1800.0 * (1 + F.col("k"))).alias("e"), F.col("event_type").alias("step"))
+    return e.select("user_id", F.col("event_id").alias("step_id"), F.col("t").alias("s"), (F.col("t") + 1800.0 * (1 + F.col("k"))).alias("e"), F.col("event_type").alias("step"))
 
 
-INTERVALS_SQL = "iv AS (SELECT user_id, event_id AS step_id, t AS s, t + 1800e0 * (1 + k) AS e, event_type AS step FROM ev WHERE k % 3 = 0)"
+INTERVALS_SQL = "iv AS (SELECT user_id, event_id AS step_id, t AS s, t + 1800e0 * (1 + k) AS e, event_type AS step FROM ev)"
 
 
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +76,12 @@ BAND_SQL = f"""WITH {EV} SELECT l.event_id, count(*) AS n, string_agg(CAST(r.eve
 
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    left = e.where("k % 3 = 1").select("user_id", "event_id", F.col("t").alias("a"), (F.col("t") + 2 * HOUR).alias("b"))
+    left = e.select("user_id", "event_id", F.col("t").alias("a"), (F.col("t") + 2 * HOUR).alias("b"))
     got = joins.overlapping(left, _intervals(e), "user_id", ("a", "b", "s", "e"), 24 * HOUR)
     return got.groupBy("event_id").agg(F.count("*").alias("n"), r6(F.max("overlap"), "longest"))
 
 
-OVERLAP_SQL = f"""WITH {EV}, {INTERVALS_SQL}, l AS (SELECT user_id, event_id, t AS a, t + 7200e0 AS b FROM ev WHERE k % 3 = 1)
+OVERLAP_SQL = f"""WITH {EV}, {INTERVALS_SQL}, l AS (SELECT user_id, event_id, t AS a, t + 7200e0 AS b FROM ev)
 SELECT event_id, count(*) AS n, round(max(least(b, e) - greatest(a, s)), 6) AS longest FROM l JOIN iv ON l.user_id = iv.user_id AND least(b, e) - greatest(a, s) > 0 GROUP BY 1"""
 
 
@@ -110,10 +110,10 @@ SELECT vec_id, CAST(rank AS INTEGER) AS rank, donor, round(score, 6) AS score, r
 
 
 def mined_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Different motion halves, similar context quarter, plus a time bonus."""
-    e = _vectors(spark, sf_dir).select("vec_id", "label", "t", F.slice("v", 1, 32).alias("ego"), F.slice("v", 33, 32).alias("exo"), F.slice("v", 1, 16).alias("ctx"))
-    pairs = donors.same_group_pairs(e, "label", "vec_id", "t", 2.0, 60.0, ["ego", "exo", "ctx"])
-    score = F.round(0.45 * (1.0 - V.cosine("ego", "ego_d")) + 0.45 * (1.0 - V.cosine("exo", "exo_d")) - 0.40 * (1.0 - V.cosine("ctx", "ctx_d")) + 0.10 * F.least(F.col("gap") / 12.0, F.lit(1.0)), 9)
+    """Different motion halves, similar context quarters of either view, plus a time bonus."""
+    e = _vectors(spark, sf_dir).select("vec_id", "label", "t", F.slice("v", 1, 32).alias("ego"), F.slice("v", 33, 32).alias("exo"), F.slice("v", 1, 16).alias("ego_ctx"), F.slice("v", 33, 16).alias("exo_ctx"))
+    pairs = donors.same_group_pairs(e, "label", "vec_id", "t", 2.0, 60.0, ["ego", "exo", "ego_ctx", "exo_ctx"])
+    score = F.round(0.45 * (1.0 - V.cosine("ego", "ego_d")) + 0.45 * (1.0 - V.cosine("exo", "exo_d")) - 0.25 * (1.0 - V.cosine("ego_ctx", "ego_ctx_d")) - 0.15 * (1.0 - V.cosine("exo_ctx", "exo_ctx_d")) + 0.10 * F.least(F.col("gap") / 12.0, F.lit(1.0)), 9)
     return donors.top_donors(pairs, "vec_id", score, 2, "vec_id_d").select("vec_id", "rank", F.col("vec_id_d").alias("donor"), r6("score", "score"))
 
 
@@ -122,7 +122,7 @@ def _cos(x: str, lo: int, hi: int) -> str:
     return f"list_inner_product({a}, {b}) / (greatest(sqrt(list_inner_product({a}, {a})), 1e-8) * greatest(sqrt(list_inner_product({b}, {b})), 1e-8))"
 
 
-MINED_SQL = f"""WITH e AS {_UNIT}, p AS (SELECT a.vec_id, b.vec_id AS donor, round(0.45e0 * (1e0 - {_cos("ego", 1, 32)}) + 0.45e0 * (1e0 - {_cos("exo", 33, 64)}) - 0.40e0 * (1e0 - {_cos("ctx", 1, 16)})
+MINED_SQL = f"""WITH e AS {_UNIT}, p AS (SELECT a.vec_id, b.vec_id AS donor, round(0.45e0 * (1e0 - {_cos("ego", 1, 32)}) + 0.45e0 * (1e0 - {_cos("exo", 33, 64)}) - 0.25e0 * (1e0 - {_cos("ego_ctx", 1, 16)}) - 0.15e0 * (1e0 - {_cos("exo_ctx", 33, 48)})
  + 0.10e0 * least(abs(a.t - b.t) / 12e0, 1e0), 9) AS score FROM e a JOIN e b ON {_PAIRS}), q AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, donor) AS rank FROM p)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, donor, round(score, 6) AS score FROM q WHERE rank <= 2"""
 
@@ -268,7 +268,7 @@ SUBSET_SQL = "SELECT count(*) + 1 AS rows, CAST(1 AS BIGINT) AS orphans, count(*
 def lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = read(spark, sf_dir, "part").select("p_partkey")
     edges = nodes.select(F.col("p_partkey").alias("c"), F.when(F.col("p_partkey") > 8, F.floor(F.col("p_partkey") / 3).cast("bigint")).alias("p"))
-    return joins.lineage(edges, "c", "p", 20)
+    return joins.lineage(edges, "c", "p")
 
 
 LINEAGE_SQL = """WITH RECURSIVE e AS (SELECT p_partkey AS c, CASE WHEN p_partkey > 8 THEN p_partkey // 3 END AS p FROM part), walk(node, place, depth) AS (SELECT c, p, 1 FROM e WHERE p IS NOT NULL

@@ -65,10 +65,11 @@ USAGE_SQL = f"WITH {CODES}, n AS (SELECT code, count(*) AS c FROM cd GROUP BY 1)
 
 
 def zero_filled_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.zero_filled(_codes(spark, sf_dir).where("user_id % 10 = 0"), "code", 64)
+    """Events per code; the last sixteen of 80 codes never occur."""
+    return A.zero_filled(_codes(spark, sf_dir), "code", 80)
 
 
-ZERO_SQL = f"WITH {CODES} SELECT CAST(range AS BIGINT) AS code, count(event_id) AS n FROM range(64) LEFT JOIN (SELECT * FROM cd WHERE user_id % 10 = 0) ON code = range GROUP BY 1"
+ZERO_SQL = f"WITH {CODES} SELECT CAST(range AS BIGINT) AS code, count(event_id) AS n FROM range(80) LEFT JOIN cd ON code = range GROUP BY 1"
 
 
 def describe_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,13 +143,16 @@ _COUNTS = "count(*) FILTER (WHERE truth = label AND guess = label) AS tp, count(
 MACRO_SQL = f"WITH {PAIRED}, c AS (SELECT label, {_COUNTS} FROM pr, {_LABELS} GROUP BY 1) SELECT round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2 * tp + fp + fn) ELSE 0e0 END), 6) AS macro_f1 FROM c"
 
 
+ITERATIONS = 200  # of the bootstraps registered here; the operators take any number
+
+
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = E.cluster_bootstrap(paired(spark, sf_dir), "user_id", "truth", "guess", TYPES, 100, "boot")
+    got = E.cluster_bootstrap(paired(spark, sf_dir), "user_id", "truth", "guess", TYPES, ITERATIONS, "boot")
     return got.select("iterations", *[r6(c, c) for c in ("mean", "low", "high")])
 
 
 BOOTSTRAP_SQL = f"""WITH {PAIRED}, c AS (SELECT user_id, label, {_COUNTS} FROM pr, {_LABELS} GROUP BY 1, 2), u AS (SELECT user_id, row_number() OVER (ORDER BY sha256(CAST(user_id AS VARCHAR)), user_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM pr)),
-d AS (SELECT i.range AS iteration, CAST('0x' || substr(sha256('boot:' || i.range || ':' || j.range), 1, 8) AS BIGINT) % (SELECT max(n) FROM u) AS place FROM range(100) i, range((SELECT max(n) FROM u)) j),
+d AS (SELECT i.range AS iteration, CAST('0x' || substr(sha256('boot:' || i.range || ':' || j.range), 1, 8) AS BIGINT) % (SELECT max(n) FROM u) AS place FROM range({ITERATIONS}) i, range((SELECT max(n) FROM u)) j),
 s AS (SELECT iteration, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM d JOIN u USING (place) JOIN c USING (user_id) GROUP BY 1, 2), f AS (SELECT iteration, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2e0 * tp / (2 * tp + fp + fn) ELSE 0e0 END) AS f FROM s GROUP BY 1)
 SELECT count(*) AS iterations, round(avg(f), 6) AS mean, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high FROM f"""
 

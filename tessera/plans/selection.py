@@ -95,12 +95,14 @@ SELECT doc_id, source FROM a ORDER BY r > greatest(1, 90 // (SELECT count(DISTIN
 
 def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """300 draws with replacement by order price; a draw's point is a hash, so runs repeat."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("w"))
-    got = S.weighted_draw(o, "o_orderkey", "w", 300, "draw")
-    return got.groupBy("draw").agg(F.count("*").alias("hits"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice")).alias("w"))
+    return S.weighted_draw(o, "o_orderkey", "w", 300, "draw")
 
 
-WEIGHTED_SQL = "SELECT CAST(range AS BIGINT) AS draw, CAST(1 AS BIGINT) AS hits FROM range(300)"
+WEIGHTED_SQL = """WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS w, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders WHERE o_totalprice >= 1),
+c AS (SELECT o_orderkey, w, CAST(sum(w) OVER (ORDER BY h, o_orderkey) AS BIGINT) AS upto FROM o),
+p AS (SELECT range AS draw, CAST(floor(CAST(CAST('0x' || substr(sha256('draw:' || range), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 * (SELECT CAST(sum(w) AS DOUBLE) FROM o)) AS BIGINT) AS x FROM range(300))
+SELECT draw, o_orderkey FROM p JOIN c ON x >= upto - w AND x < upto"""
 
 
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,16 +145,21 @@ SELECT role, role IN ('Probe-Train', 'locked_test', 'Hold-Out') OR usable_for LI
 
 
 def dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted distinct users as 0..n-1, from the distinct values."""
-    u = events(spark, sf_dir).select("user_id").distinct()
-    from pyspark.sql import Window
-
-    return u.withColumn("code", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("bigint"))
+    """Sorted distinct users as 0..n-1."""
+    return S.dense_index(events(spark, sf_dir), "user_id", "code")
 
 
 DENSE_SQL = "SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS code FROM (SELECT DISTINCT user_id FROM events)"
 
 
+def published_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest under which an id list is published: sorted ids, a newline after each."""
+    return splits.published_digest(read(spark, sf_dir, "documents"), "doc_id")
+
+
+PUBLISHED_SQL = "SELECT count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR)) || chr(10)) AS digest FROM documents"
+
+
 def id_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.id_digest(read(spark, sf_dir, "documents"), "doc_id")
 
@@ -198,6 +205,7 @@ QUERIES = {
     "role_quarantine": (role_quarantine, QUARANTINE_SQL),
     "dense_index": (dense_index, DENSE_SQL),
     "id_digest": (id_digest, DIGEST_SQL),
+    "published_digest": (published_digest, PUBLISHED_SQL),
     "frame_intervals": (frame_intervals, FRAMES_SQL),
     "shuffled_pool": (shuffled_pool, POOL_SQL),
 }

@@ -156,8 +156,21 @@ def test_streaming_window(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM daily").first()[0] == spark.read.parquet(f"file://{tmp_path}/in").count()
 
 
-def test_lineage_has_no_root_beyond_its_depth(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(6, None), (10, 11), (11, 10), (12, 10)], "c long, p long")
-    got = {r.node: (r.root, r.depth) for r in joins.lineage(edges, "c", "p", 4).collect()}
-    assert [got[i] for i in range(6)] == [(None, 4), (None, 4), (6, 4), (6, 3), (6, 2), (6, 1)]
-    assert got[10][0] is None and got[11][0] is None and got[12][0] is None
+def test_lineage_of_long_chains_and_cycles(spark):
+    chain = [(i, i + 1) for i in range(1_000)] + [(1_000, None)]
+    cycles = [(2_001, 2_002), (2_002, 2_001), (2_005, 2_005), (2_010, 2_002), (2_011, 2_010)]
+    got = {r.node: (r.root, r.depth) for r in joins.lineage(spark.createDataFrame(chain + cycles, "c long, p long"), "c", "p").collect()}
+    assert all(got[i] == (1_000, 1_000 - i) for i in range(1_000))
+    assert all(got[c] == (None, None) for c, _ in cycles) and len(got) == 1_005
+    assert joins.lineage(spark.createDataFrame([], "c long, p long"), "c", "p").count() == 0
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0), ("c", 7), ("d", None)], "id string, w long")
+    got = {r.id: r["count"] for r in select.weighted_draw(df, "id", "w", 4_000, "x").groupBy("id").count().collect()}
+    assert set(got) == {"a", "c"} and sum(got.values()) == 4_000 and 380 < got["a"] < 620
+
+
+def test_published_digest(spark):
+    got = splits.published_digest(spark.createDataFrame([("b",), (None,), ("a10",), ("a9",)], "id string"), "id").first()
+    assert tuple(got) == (3, hashlib.sha256(b"a10\na9\nb\n").hexdigest())
