@@ -36,23 +36,36 @@ def draws(spark, iterations: int, clusters: Column, seed: str) -> DataFrame:
     return d.withColumn("place", word % clusters).groupBy("iteration", "place").agg(F.count("*").alias("times"))
 
 
+def _drawn_f1(counts: DataFrame, clusters: DataFrame, cluster: str, labels: Sequence[str], iterations: int, seed: str, by: Sequence[str] = ()) -> DataFrame:
+    """(iteration, by..., f): macro F1 of confusion counts of clusters drawn with replacement."""
+    from .select import global_rank
+
+    n = clusters.agg(F.count("*")).scalar()
+    ranked = global_rank(clusters.withColumn("__h", F.sha2(F.col(cluster).cast("string"), 256)), "__h", cluster, "__r").select(cluster, (F.col("__r") - 1).alias("place"))
+    drawn = draws(counts.sparkSession, iterations, n, seed).join(ranked, "place").join(counts, cluster)
+    per = drawn.groupBy("iteration", *by, "label").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn")])
+    return per.groupBy("iteration", *by).agg((F.sum(f1(F.col("tp"), F.col("fp"), F.col("fn"))) / F.lit(float(len(labels)))).alias("f"))
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, truth: str, guess: str, labels: Sequence[str], iterations: int, seed: str) -> DataFrame:
     """Bounds (2.5 %, 97.5 %) and mean of macro F1 when whole clusters are drawn again.
 
     Confusion counts per cluster are made once; an iteration multiplies them.
     """
-    from .select import global_rank
-
-    counts = confusion(df, truth, guess, labels, [cluster])
-    clusters = df.select(cluster).distinct()
-    n = clusters.agg(F.count("*")).scalar()
-    ranked = global_rank(clusters.withColumn("__h", F.sha2(F.col(cluster).cast("string"), 256)), "__h", cluster, "__r").select(cluster, (F.col("__r") - 1).alias("place"))
-    drawn = draws(df.sparkSession, iterations, n, seed).join(ranked, "place").join(counts, cluster)
-    per = drawn.groupBy("iteration", "label").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn")])
-    score = per.groupBy("iteration").agg((F.sum(f1(F.col("tp"), F.col("fp"), F.col("fn"))) / F.lit(float(len(labels)))).alias("f"))
+    score = _drawn_f1(confusion(df, truth, guess, labels, [cluster]), df.select(cluster).distinct(), cluster, labels, iterations, seed)
     return score.agg(F.count("*").alias("iterations"), F.avg("f").alias("mean"), F.percentile("f", 0.025).alias("low"), F.percentile("f", 0.975).alias("high"))
 
 
+def paired_bootstrap(df: DataFrame, cluster: str, truth: str, first: str, second: str, labels: Sequence[str], iterations: int, seed: str) -> DataFrame:
+    """Macro F1 of ``first`` minus that of ``second``, and its bounds under the same draws."""
+    sides = confusion(df, truth, first, labels, [cluster]).withColumn("sign", F.lit(1)).unionAll(confusion(df, truth, second, labels, [cluster]).withColumn("sign", F.lit(-1)))
+    drawn = _drawn_f1(sides, df.select(cluster).distinct(), cluster, labels, iterations, seed, ["sign"])
+    deltas = drawn.groupBy("iteration").agg(F.sum(F.col("sign") * F.col("f")).alias("d"))
+    whole = sides.groupBy("sign", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    point = whole.agg((F.sum(F.col("sign") * f1(F.col("tp"), F.col("fp"), F.col("fn"))) / F.lit(float(len(labels)))).alias("p")).scalar()
+    return deltas.agg(F.count("*").alias("iterations"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high")).withColumn("delta", F.coalesce(point, F.lit(0.0)))
+
+
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed and expected agreement and Cohen's kappa (1 when chance alone agrees fully)."""
     n = df.agg(F.count("*")).scalar().cast("double")
