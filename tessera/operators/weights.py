@@ -95,3 +95,32 @@ def largest_groups(df: DataFrame, key: str, weight: str, n: int = 10) -> DataFra
 
 def rank_in(*partition: str, order: list[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+
+
+def labelled_weight(label: Column, confidence: Column, auto: Column, group_weight: Column, weights: dict[str, float], least: float, unlabelled: str = "auto") -> dict[str, Column]:
+    """Label, its source and the weight of a row: a human label of enough confidence wins.
+
+    A confidence that is no number counts 1. Without a human label the automatic one is used
+    (``unlabelled="auto"``) or none (``"zero"``: discard). Labels without a weight weigh 0.
+    """
+    given = F.nullif(F.trim(label), F.lit(""))
+    sure = F.coalesce(confidence.try_cast("double"), F.lit(1.0)) >= least
+    human = given.isNotNull() & sure
+    chosen = F.when(human, given).otherwise(F.trim(auto) if unlabelled == "auto" else F.lit("discard"))
+    base = F.coalesce(*[F.when(chosen == k, F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
+    return {
+        "label": chosen,
+        "label_source": F.when(human, "human").otherwise("auto"),
+        "weight": F.greatest(base * F.coalesce(group_weight.try_cast("double"), F.lit(1.0)), F.lit(0.0)),
+    }
+
+
+def next_recipe(used_codes: Column, group_nmi: Column) -> Column:
+    """Which repair a round's gate values ask for; first_round where there are none."""
+    return (
+        F.when(used_codes.isNull() & group_nmi.isNull(), "first_round")
+        .when((used_codes < 45) & (group_nmi <= 0.45), "usage_repair")
+        .when(used_codes < 45, "dense_group_repair")
+        .when(group_nmi > 0.35, "leakage_repair")
+        .otherwise("causality_repair")
+    )
