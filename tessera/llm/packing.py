@@ -33,9 +33,10 @@ class SumOfSquaresPacker:
         self.window, self.cut_price = window, cut_price
         self.quantum = max(1, -(-window // levels))
         n = -(-window // self.quantum)
-        self.level = np.zeros(n + 1, np.int64)  # open windows per level; the last entry stays 0
+        self.level = [0] * (n + 1)  # open windows per level; the last entry stays 0
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(n)]  # (fill, pieces)
-        self.fill = np.zeros(n, np.int64)  # of the window that would be taken next
+        self.fill = [0] * n  # of the window that would be taken next
+        self.live: set[int] = set()  # levels with open windows: few, so a choice is a short loop
         self.next = 0
         self.closed = self.joined = self.whole = 0  # windows by the rule, by the last flush, of one document
 
@@ -46,22 +47,25 @@ class SumOfSquaresPacker:
         by 2 N[t] + 1, closing one by 1 - 2 N[h]; a rest that a cut leaves is counted as a new
         window and its price. Ties take the fullest window.
         """
-        live = np.flatnonzero(self.level[:-1])
-        new = 2 * self.level[size // self.quantum] + 1
-        if not len(live):
-            return -1
-        after, count = self.fill[live] + size, self.level[live]
-        to = np.minimum(after, self.window) // self.quantum
-        over = after - self.window
-        moved = np.where(to == live, 0, 2 * (self.level[to] - count + 1))
-        rest = np.where(over > 0, 2 * self.level[np.maximum(over, 0) // self.quantum] + 1, 0)
-        cost = np.where(over < 0, moved, 1 - 2 * count + rest + np.where(over > self.quantum, self.cut_price, 0))
-        at = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        return int(live[at]) if cost[at] <= new else -1
+        level, window, quantum = self.level, self.window, self.quantum
+        best, least, top = -1, 2 * level[size // quantum] + 1, -1
+        for h in self.live:
+            end = self.fill[h] + size
+            if end < window:
+                t = end // quantum
+                cost = 0 if t == h else 2 * (level[t] - level[h] + 1)
+            elif end == window:
+                cost = 1 - 2 * level[h]
+            else:
+                over = end - window
+                cost = 2 - 2 * level[h] + 2 * level[over // quantum] + (self.cut_price if over > quantum else 0)
+            if cost < least or cost == least and h > top:
+                best, least, top = h, cost, h
+        return best
 
     @property
     def n_open(self) -> int:
-        return int(self.level.sum())
+        return sum(self.level)
 
     def _emit(self, pieces: list) -> Iterator[tuple]:
         at = 0
@@ -76,6 +80,8 @@ class SumOfSquaresPacker:
         self.level[level] -= 1
         if own:
             self.fill[level] = own[-1][0]
+        else:
+            self.live.discard(level)
         return taken
 
     def _put(self, fill: int, pieces: list) -> None:
@@ -83,6 +89,7 @@ class SumOfSquaresPacker:
         self.open[level].append((fill, pieces))
         self.level[level] += 1
         self.fill[level] = fill
+        self.live.add(level)
 
     def add(self, doc_id: int, ids: np.ndarray) -> Iterator[tuple]:
         total, at = len(ids), 0
@@ -117,7 +124,8 @@ class SumOfSquaresPacker:
                             yield from self._emit(pieces)
                             pieces, size = [], 0
             own.clear()
-        self.level[:] = 0
+        self.level = [0] * len(self.level)
+        self.live.clear()
         if pieces:
             self.joined += 1
             yield from self._emit(pieces)

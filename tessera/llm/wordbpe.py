@@ -11,12 +11,24 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 import numpy as np
 
 _PLAIN = r"[^\x00-\x1b\x20-ɏ‐-‧‰-›€]"
 
 
+def _filled(seen: dict[str, bytes], keys: list[str], make: Callable[[str], bytes]) -> list[bytes]:
+    """The kept value of every key, made where it is not kept."""
+    found = list(map(seen.get, keys))
+    if None in found:
+        for i, x in enumerate(found):
+            if x is None:
+                key = keys[i]
+                found[i] = seen.get(key) or make(key)
+    return found
+
+
 class WordEncoder:
     """``encode(text)`` -> little-endian uint32 ids, special strings as the file has them."""
 
@@ -59,8 +71,7 @@ class WordEncoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        seen = self.words
-        out = b"".join([seen.get(w) or self._word(w) for w in self.split(chunk)])
+        out = b"".join(_filled(self.words, self.split(chunk), self._word))
         if len(chunk) <= 64:
             if len(self.chunks) >= self.CHUNKS:
                 self.chunks.clear()
@@ -72,8 +83,7 @@ class WordEncoder:
             return np.zeros(0, "<u4")
         if not self.fast or any(s in text for s in self.special) or self.odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        seen = self.chunks
-        ids = b"".join([seen.get(c) or self._chunk(c) for c in text.lower().split()])
+        ids = b"".join(_filled(self.chunks, text.lower().split(), self._chunk))
         return np.frombuffer(ids, "<u2").astype("<u4")
 
 
