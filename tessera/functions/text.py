@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expr import ColumnLike, col, ordered_case
@@ -31,9 +31,25 @@ def phrase_match(text: Column) -> Column:
     return ordered_case(pairs, F.lit(None).cast("string"))
 
 
+def with_phrase(df: DataFrame, primary: str, secondary: str, out: str = "phrase") -> DataFrame:
+    """Adds the phrase that labels a row: the primary text decides before the secondary.
+
+    Each text is normalised once, in a projection below the long list of conditions.
+    """
+    texts = df.withColumn("__a", normalized_text(primary)).withColumn("__b", normalized_text(secondary))
+    return texts.withColumn(out, F.coalesce(phrase_match(F.col("__a")), phrase_match(F.col("__b")))).drop("__a", "__b")
+
+
+def phrase_labels(phrase: Column) -> dict[str, Column]:
+    """effect, contact and validity that a phrase stands for."""
+    return {
+        "effect": ordered_case([(phrase.isin(*p), e) for e, _, p in LEXICON], UNMATCHED_EFFECT),
+        "contact": ordered_case([(phrase.isin(*p), c) for _, c, p in LEXICON], UNMATCHED_CONTACT),
+        "valid": phrase.isNotNull(),
+    }
+
+
 def weak_labels(primary: ColumnLike, secondary: ColumnLike) -> Column:
-    """struct(phrase, effect, contact, valid): the primary text decides before the secondary."""
+    """struct(phrase, effect, contact, valid) as one expression, for a row at a time."""
     phrase = F.coalesce(phrase_match(normalized_text(primary)), phrase_match(normalized_text(secondary)))
-    effect = ordered_case([(phrase.isin(*p), e) for e, _, p in LEXICON], UNMATCHED_EFFECT)
-    contact = ordered_case([(phrase.isin(*p), c) for _, c, p in LEXICON], UNMATCHED_CONTACT)
-    return F.struct(phrase.alias("phrase"), effect.alias("effect"), contact.alias("contact"), phrase.isNotNull().alias("valid"))
+    return F.struct(phrase.alias("phrase"), *[c.alias(n) for n, c in phrase_labels(phrase).items()])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import band, clip, first_filled, first_number, scaled
-from ..functions.text import LEXICON, weak_labels
+from ..functions.text import LEXICON, phrase_labels, with_phrase
 from ..operators import curation as C
 from ..operators import normalize, weights
 from ..operators.validation import failures
@@ -282,9 +282,9 @@ SELECT doc_id, coalesce(TRY_CAST(coalesce(nullif(a, ''), nullif(b, '')) AS DOUBL
 
 
 def lexicon_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "conversations")
-    w = weak_labels("text", "role")
-    return c.withColumn("w", w).groupBy("w.phrase", "w.effect", "w.contact", "w.valid").agg(F.count("*").alias("n"))
+    """Turns of conversations by the phrase found in the text, else in the role; labels per phrase."""
+    found = with_phrase(read(spark, sf_dir, "conversations"), "text", "role").groupBy("phrase").agg(F.count("*").alias("n"))
+    return found.withColumns(phrase_labels(F.col("phrase"))).select("phrase", "effect", "contact", "valid", "n")
 
 
 def _phrase_sql(text: str) -> str:
@@ -301,7 +301,7 @@ SELECT phrase, {_of(0, 7)} AS effect, {_of(1, 4)} AS contact, phrase IS NOT NULL
 
 
 def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken rules per row of the labelled documents, and repeated texts as repeated keys."""
+    """Broken rules per row of the labelled documents; keys missing or repeated among them."""
     rows = takes(spark, sf_dir)
     rules = [
         ("unknown_label", ~F.col("usable_for").isin("tokenizer_main", "loco_aux", "discard", "diagnostic_candidate")),
