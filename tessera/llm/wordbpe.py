@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +20,14 @@ import numpy as np
 _PLAIN = r"[^\x00-\x1b\x20-ɏ‐-‧‰-›€]"
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 16-bit numbers."""
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def _filled(seen: dict[str, bytes], keys: list[str], make: Callable[[str], bytes]) -> list[bytes]:
     """The kept value of every key, made where it is not kept."""
     found = list(map(seen.get, keys))
@@ -64,14 +74,17 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         mapped = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.bytemap)
-        ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
+        ids = _packed([t.id for t in self.model.tokenize(mapped)])
         if len(self.words) >= self.WORDS:
             self.words.clear()
         self.words[word] = ids
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        out = b"".join(_filled(self.words, self.split(chunk), self._word))
+        if chunk.isalpha():  # letters alone are one word of the split
+            out = self.words.get(chunk) or self._word(chunk)
+        else:
+            out = b"".join(_filled(self.words, self.split(chunk), self._word))
         if len(chunk) <= 64:
             if len(self.chunks) >= self.CHUNKS:
                 self.chunks.clear()
