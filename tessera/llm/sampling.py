@@ -249,8 +249,8 @@ class LatticeCache:
         if once:
             built = Lattice(self.model, once)
             self.lattice = built if self.kept is None else self.kept.extended(built)
-        kept = self.numbers
-        return np.array([kept[w] if w in kept else here[w] for w in words], np.int64)
+        numbers = self.numbers | here
+        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
 
 
 def _uniform(rng: np.random.Generator) -> float:
