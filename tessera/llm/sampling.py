@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -253,6 +254,12 @@ class LatticeCache:
         return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str, inverse_temperature: float) -> PieceModel:
+    """The piece model of this Python process."""
+    return PieceModel(path, inverse_temperature)
+
+
 def _uniform(rng: np.random.Generator) -> float:
     return max(float(rng.random()), 2.0**-54)
 
@@ -427,7 +434,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, path: str | None = None, s
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LatticeCache(PieceModel(path, inverse_temperature))
+        model = LatticeCache(_pieces(path, inverse_temperature))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             a = 0
