@@ -135,6 +135,17 @@ def test_cluster_bootstrap_by_hand_and_without_broadcast(spark):
     assert (row.iterations, row.mean, row.low) == (0, None, None)
 
 
+def test_paired_bootstrap_by_hand_and_without_broadcast(spark):
+    df = spark.createDataFrame(BOOT_ROWS, "u long, t string, p string, o string")
+    got = evaluation.paired_bootstrap(df, "u", "t", "p", "o", ["a", "b"], 20, "s")
+    assert joins_of(got, "place") == ["SortMergeJoin"]
+    deltas, row = sorted(a - b for a, b in zip(boot_counts(2), boot_counts(3))), one(got)
+    at = 0.025 * 19
+    assert row.iterations == 20 and row.low == pytest.approx(deltas[0] + at * (deltas[1] - deltas[0])) and row.high == pytest.approx(deltas[19] - at * (deltas[19] - deltas[18]))
+    scores = [one(evaluation.macro_f1(df, "t", x, ["a", "b"])).macro_f1 for x in "po"]
+    assert row.delta == pytest.approx(scores[0] - scores[1])
+
+
 def test_go_rule(spark):
     cols = "a double, b double, c double, low double, seeds boolean, leak double"
     df = spark.createDataFrame([(0.06, 0.04, 0.04, 0.01, True, 0.01), (0.06, 0.04, 0.04, 0.01, True, 0.021)], cols)
