@@ -587,6 +587,28 @@ def test_bounds_prune_blocks_of_clustered_vectors():
     assert index.scored < 0.5 * len(queries) * (len(index.cuts) - 1)
 
 
+def test_top_k_sends_queries_without_join_or_broadcast(spark):
+    rng = np.random.default_rng(4)
+    q = rng.integers(-900, 900, (300, 6))
+    df = spark.createDataFrame([(i, [int(v) for v in r]) for i, r in enumerate(q)], "vec_id long, q array<bigint>")
+    got = topk.top_k(df, F.col("vec_id") % 3 == 0, k=4, shard_rows=8, query_rows=16, block_rows=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan  # the queries of all shards are as many as queries times shards
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {i: [int(j) for j in np.lexsort((np.arange(300), -(q @ q[i]))) if j != i][:4] for i in range(0, 300, 3)}
+    few = topk.top_k(df, F.col("vec_id") % 3 == 0, k=4, shard_rows=8, query_rows=16, block_rows=4, max_pivots=5, most_shards=5, most_rows=50)
+    assert sorted(few.collect()) == sorted(got.collect())
+
+
+def test_top_k_tells_large_scores_apart(spark):
+    big = 3_000_000_000
+    df = spark.createDataFrame([(0, [big, 1]), (1, [big, 1]), (2, [big, 3]), (3, [big, 2]), (4, [-big, 2])], "vec_id long, q array<bigint>")
+    got = topk.top_k(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, big * big + 3), (3, big * big + 2), (1, big * big + 1)]
+
+
 # ------------------------------------------------------------------ 10 token files
 
 
